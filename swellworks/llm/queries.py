@@ -17,8 +17,17 @@ def op5_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(_table(spark, sf_dir, "documents"))
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from swellworks.llm.bpe import digests
+
+    return digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_jpeg": op5_jpeg,
+    "op8_bpe": op8_bpe,
 }
 
 ORACLES: dict[str, str] = {}
