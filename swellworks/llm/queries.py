@@ -11,6 +11,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from swellworks.llm.token_files import encode_corpus, with_digest
+
+    return with_digest(encode_corpus(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
 def op5_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     from swellworks.llm.jpeg import media_features
 
@@ -26,6 +34,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_tokens": op4_tokens,
     "op5_jpeg": op5_jpeg,
     "op8_bpe": op8_bpe,
 }
