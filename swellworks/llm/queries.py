@@ -49,12 +49,19 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from swellworks.llm.toxicity import scored
+
+    return scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_simhash": op2_simhash,
     "op4_tokens": op4_tokens,
     "op5_jpeg": op5_jpeg,
     "op8_bpe": op8_bpe,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLES: dict[str, str] = {

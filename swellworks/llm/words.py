@@ -14,6 +14,7 @@ from swellworks.llm.runtime import ragged
 _U = np.uint64
 IN_WORD = np.ones(256, bool)
 IN_WORD[[0x20, *range(0x09, 0x0E)]] = False
+IN_TERM = np.array([chr(b).isalnum() or b >= 0x80 for b in range(256)])  # words without ASCII punctuation
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _BASE, _STEP = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -39,9 +40,9 @@ def mix(h: np.ndarray) -> np.ndarray:
 class Words:
     """Word boundaries of a piece: ``start``/``end`` byte positions, ``first[d]`` the first word of document d."""
 
-    def __init__(self, buf: np.ndarray, offs: np.ndarray):
+    def __init__(self, buf: np.ndarray, offs: np.ndarray, table: np.ndarray = IN_WORD):
         self.buf, self.offs = buf, offs
-        on = IN_WORD[buf]
+        on = table[buf]
         head, tail = on.copy(), on.copy()
         if len(buf):
             head[1:] &= ~on[:-1]
