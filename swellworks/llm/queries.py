@@ -41,6 +41,12 @@ def op5_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(_table(spark, sf_dir, "documents"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from swellworks.llm.decontaminate import contaminated
+
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -60,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op4_tokens": op4_tokens,
     "op5_jpeg": op5_jpeg,
+    "op7_decontaminate": op7_decontaminate,
     "op8_bpe": op8_bpe,
     "op9_toxicity": op9_toxicity,
 }
