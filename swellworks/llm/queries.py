@@ -41,6 +41,12 @@ def op5_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(_table(spark, sf_dir, "documents"))
 
 
+def op6_rlz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from swellworks.llm.rlz import removed
+
+    return removed(_table(spark, sf_dir, "documents"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from swellworks.llm.decontaminate import contaminated
 
@@ -66,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op4_tokens": op4_tokens,
     "op5_jpeg": op5_jpeg,
+    "op6_rlz": op6_rlz,
     "op7_decontaminate": op7_decontaminate,
     "op8_bpe": op8_bpe,
     "op9_toxicity": op9_toxicity,
