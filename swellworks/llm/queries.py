@@ -67,6 +67,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from swellworks.llm.suffix import without_repeats
+
+    return without_repeats(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_simhash": op2_simhash,
@@ -76,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontaminate": op7_decontaminate,
     "op8_bpe": op8_bpe,
     "op9_toxicity": op9_toxicity,
+    "op10_suffix": op10_suffix,
 }
 
 ORACLES: dict[str, str] = {
