@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from swellworks.llm.piece_cache import PieceCache
 from swellworks.llm.runtime import map_slices, ragged, utf8
 
 OTHER, LETTER, NUMBER, SPACE = range(4)
@@ -130,7 +131,7 @@ def boundaries(points: np.ndarray, first: np.ndarray) -> np.ndarray:
 class Ranks:
     """A rank file's vocabulary with cached pair merging."""
 
-    def __init__(self, data: bytes, cache: int = 400_000):
+    def __init__(self, data: bytes):
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines()) if a}
         self.pairs: dict[tuple[int, int], int] = {}
         ranks = self.ranks
@@ -147,13 +148,7 @@ class Ranks:
         self.sizes = np.array([len(t) for t in tokens], np.int64)
         self.first = np.cumsum(self.sizes) - self.sizes
         self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
-        self.limit = cache
-        self._reset()
-
-    def _reset(self) -> None:
-        self.slot: dict[bytes, int] = {}
-        self.flat, self.used = np.empty(1 << 16, np.int32), 0
-        self.at, self.n = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
+        self.cache = PieceCache(self._merged)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one piece: the lowest-ranked neighbouring pair merges first, the leftmost of equals."""
@@ -198,19 +193,10 @@ class Ranks:
                 heapq.heappush(heap, (x, before[i], ids[before[i]], r))
         return [x for x in ids if x >= 0]
 
-    def _learn(self, pieces: set[bytes]) -> None:
-        if len(self.slot) + len(pieces) > self.limit:
-            self._reset()
-        for piece in pieces:
-            ids, k = self.merge(piece), len(self.slot)
-            if self.used + len(ids) > len(self.flat):
-                self.flat = np.resize(self.flat, 2 * (self.used + len(ids)))
-            if k == len(self.at):
-                self.at, self.n = np.resize(self.at, 2 * k), np.resize(self.n, 2 * k)
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.at[k], self.n[k] = self.used, len(ids)
-            self.used += len(ids)
-            self.slot[piece] = k
+    def _merged(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [self.merge(p) for p in pieces]
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter((x for i in ids for x in i), np.int32, int(n.sum())), n
 
     def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, first id of each text and the end, byte offset of each id in buf) of a batch of UTF-8 texts."""
@@ -220,17 +206,7 @@ class Ranks:
         text_at = np.searchsorted(lead, offs)
         nonempty = np.flatnonzero(np.diff(offs))
         starts = lead[boundaries(points, text_at[nonempty])] if len(points) else np.empty(0, np.int64)
-        edges = [*starts.tolist(), len(buf)]
-        pieces = [data[a:b] for a, b in zip(edges, edges[1:])]
-        missing = {p for p in pieces if p not in self.slot}
-        if missing:
-            before = len(self.slot)
-            self._learn(missing)
-            if len(self.slot) < before + len(missing):  # the cache began anew
-                self._learn({p for p in pieces if p not in self.slot})
-        slots = np.fromiter(map(self.slot.__getitem__, pieces), np.int64, len(pieces))
-        n = self.n[slots]
-        ids = self.flat[ragged(self.at[slots], n)]
+        ids, n = self.cache.ids(buf, starts, np.append(starts[1:], len(buf)) if len(starts) else starts)
         bounds = np.concatenate([[0], np.cumsum(n)])
         first = bounds[np.searchsorted(starts, offs)]
         size = self.sizes[ids]

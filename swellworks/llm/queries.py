@@ -27,6 +27,12 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from swellworks.llm.licenses import licenses
+
+    return licenses(_table(spark, sf_dir, "documents"))
+
+
 def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -76,6 +82,7 @@ def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_simhash": op2_simhash,
+    "op3_licenses": op3_licenses,
     "op4_tokens": op4_tokens,
     "op5_jpeg": op5_jpeg,
     "op6_rlz": op6_rlz,

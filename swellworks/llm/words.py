@@ -37,6 +37,18 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(32))
 
 
+def piece_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hash, first eight bytes as a number) of each piece buf[start:end]."""
+    n = len(buf)
+    up, down = _powers(1 << max(20, int(n).bit_length()))
+    sums = np.zeros(n + 1, _U)
+    np.cumsum((buf.astype(_U) + _U(1)) * up[:n], out=sums[1:])
+    h = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(_U))
+    eight = np.lib.stride_tricks.as_strided(np.concatenate([buf, np.zeros(8, np.uint8)]), (n + 1, 8), (1, 1))[start].copy().view("<u8").ravel()
+    short = np.minimum(end - start, 8).astype(_U) * _U(8)
+    return h, np.where(short == 64, eight, eight & ((_U(1) << (short & _U(63))) - _U(1)))
+
+
 class Words:
     """Word boundaries of a piece: ``start``/``end`` byte positions, ``first[d]`` the first word of document d."""
 
