@@ -22,57 +22,45 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from swellworks.llm.piece_cache import PieceCache
-from swellworks.llm.runtime import RangeReader, Workspace, map_slices, put_file, ragged, slices, utf8
-from swellworks.llm.words import LOWER, Words
+from swellworks.llm.runtime import RangeReader, Workspace, map_slices, put_file, utf8
+from swellworks.llm.words import Words
 
 MAGIC = b"RANKVL1\n"
-HEAD = "<8sIQ"
+HEAD = struct.Struct("<8sIQ")
 #: Lengths of the four ids of each control byte.
 LENGTHS = np.array([[1 + (c >> 2 * k & 3) for k in range(4)] for c in range(256)], np.uint8)
 
 
-def pack(values: np.ndarray, first: np.ndarray) -> list[bytes]:
-    """The blocks of documents: values[first[i]:first[i+1]], unsigned 32-bit."""
-    counts = np.diff(first)
+def pack(values: np.ndarray) -> tuple[bytes, bytes]:
+    """(control bytes, data bytes) of unsigned 32-bit values."""
     v = values.astype("<u4")
     n = 1 + (v > 0xFF).astype(np.uint8) + (v > 0xFFFF) + (v > 0xFFFFFF)
-    groups = -(-counts // 4)
-    control_at = np.concatenate([[0], np.cumsum(groups)])
-    codes = np.zeros(4 * int(control_at[-1]), np.uint8)
-    codes[ragged(4 * control_at[:-1], counts)] = n - 1
-    codes = codes.reshape(-1, 4)
-    control = (codes[:, 0] | codes[:, 1] << 2 | codes[:, 2] << 4 | codes[:, 3] << 6).tobytes()
-    data_at = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])[first].tolist()
-    data, c = v.view(np.uint8).reshape(-1, 4)[np.arange(4) < n[:, None]].tobytes(), control_at.tolist()
-    return [control[c[i] : c[i + 1]] + data[data_at[i] : data_at[i + 1]] for i in range(len(counts))]
-
-
-def unpack(data: np.ndarray, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """The values of all blocks that start at ``at`` in data, one after the other."""
-    groups = -(-counts // 4)
-    n = LENGTHS[data[ragged(at, groups)]].ravel()
-    if (counts & 3).any():
-        n = n[ragged(4 * (np.cumsum(groups) - groups), counts)]
-    n = n.astype(np.int64)
-    ends = np.cumsum(n)
-    first = np.cumsum(counts) - counts
-    before = np.concatenate([[0], ends])[first]
-    where = ends - n + np.repeat(at + groups - before, counts)
-    out = data[where].astype("<u4")
-    for j in range(1, 4):
+    codes = np.zeros(-(-len(v) // 4) * 4, np.uint8)
+    codes[: len(v)] = n - 1
+    control = (codes.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8)
+    keep = np.arange(4) < n[:, None]
+    return control.tobytes(), v.view(np.uint8).reshape(-1, 4)[keep].tobytes()
+
+
+def unpack(data: np.ndarray, count: int) -> np.ndarray:
+    """``count`` values from control bytes followed by data bytes."""
+    k = -(-count // 4)
+    n = LENGTHS[data[:k]].ravel()[:count].astype(np.int64)
+    at = k + np.cumsum(n) - n
+    out = np.zeros((count, 4), np.uint8)
+    for j in range(4):
         has = np.flatnonzero(n > j)
-        if not len(has):
-            break
-        out[has] |= data[where[has] + j].astype(np.uint32) << np.uint32(8 * j)
-    return out
+        out[has, j] = data[at[has] + j]
+    return out.view("<u4").ravel()
 
 
-def shard_bytes(doc_ids: list[int], counts: list[int], blocks: list[bytes]) -> Iterator[bytes]:
+def shard_bytes(doc_ids: list[int], ranks: list[np.ndarray]) -> Iterator[bytes]:
     """The parts of a shard file."""
-    ids, sizes = np.array([0, *counts], "<u8"), np.array([0, *map(len, blocks)], "<u8")
-    yield struct.pack(HEAD, MAGIC, len(blocks), int(ids.sum()))
+    blocks = [b"".join(pack(r)) for r in ranks]
+    counts, sizes = np.array([0, *map(len, ranks)], "<u8"), np.array([0, *map(len, blocks)], "<u8")
+    yield HEAD.pack(MAGIC, len(blocks), int(counts.sum()))
     yield np.array(doc_ids, "<i8").tobytes()
-    yield np.cumsum(ids, dtype=np.uint64).astype("<u8").tobytes()
+    yield np.cumsum(counts, dtype=np.uint64).astype("<u8").tobytes()
     yield np.cumsum(sizes, dtype=np.uint64).astype("<u8").tobytes()
     yield from blocks
 
@@ -82,33 +70,27 @@ class Shard:
 
     def __init__(self, uri: str, reader: RangeReader | None = None):
         self.uri, self.read = uri, reader or RangeReader()
-        head = struct.calcsize(HEAD)
-        magic, self.documents, self.ids = struct.unpack(HEAD, self.read(uri, 0, head))
+        magic, self.documents, self.ids = HEAD.unpack(self.read(uri, 0, HEAD.size))
         if magic != MAGIC:
             raise ValueError(f"{uri} is no token file")
         n = self.documents
-        raw = self.read(uri, head, 8 * n + 16 * (n + 1))
+        raw = self.read(uri, HEAD.size, 8 * n + 16 * (n + 1))
         self.doc_ids = np.frombuffer(raw[: 8 * n], "<i8")
         self.first = np.frombuffer(raw[8 * n : 16 * n + 8], "<u8").astype(np.int64)
         self.at = np.frombuffer(raw[16 * n + 8 :], "<u8").astype(np.int64)
-        self.base = head + len(raw)
+        self.base = HEAD.size + len(raw)
 
-    def ranks(self, a: int, b: int) -> np.ndarray:
-        """The ranks of documents a..b-1 of this shard, one after the other."""
+    def ranks(self, a: int, b: int) -> list[np.ndarray]:
+        """The ranks of documents a..b-1 of this shard."""
         data = np.frombuffer(self.read(self.uri, self.base + int(self.at[a]), int(self.at[b] - self.at[a])), np.uint8)
-        return unpack(data, self.at[a:b] - self.at[a], np.diff(self.first[a : b + 1]))
-
-
-#: 1 for ASCII letters and digits, 2 for ASCII signs but the apostrophe, 0 for any other byte.
-KIND = np.array([1 if chr(b).isalnum() else 2 if 0x20 < b < 0x7F and b != 0x27 else 0 for b in range(0x80)] + [0] * 0x80, np.uint8)
+        return [unpack(data[self.at[i] - self.at[a] : self.at[i + 1] - self.at[a]], int(self.first[i + 1] - self.first[i])) for i in range(a, b)]
 
 
 class WordTokenizer:
     """Whole texts through the tokenizers library, by way of a cache of white-space separated chunks.
 
-    The file's normaliser folds white space and lower-cases, and its splitter never crosses white space or the border
-    of a letter or digit and a sign, so a text's ids are those of its chunks in order.  Only ASCII borders cut
-    (white space; a letter or digit beside a sign other than the apostrophe); the rest is the library's.
+    The file's normaliser folds white space and its splitter never crosses it, so a text's ids are those of its
+    chunks in order.  ASCII white space cuts chunks; any other stays inside its chunk for the library.
     """
 
     def __init__(self, data: bytes):
@@ -116,7 +98,7 @@ class WordTokenizer:
 
         self.library = Tokenizer.from_str(data.decode("utf-8"))
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.cache = PieceCache(self._library_ids, bits=21)
+        self.cache = PieceCache(self._library_ids)
 
     def _library_ids(self, chunks: list[bytes], together: int = 200) -> tuple[np.ndarray, np.ndarray]:
         """Ids of chunks and how many each has: line by line in one call for many, told apart by the offsets."""
@@ -132,17 +114,9 @@ class WordTokenizer:
 
     def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, first id of each text and the end)."""
-        if not len(buf):
-            return np.empty(0, np.int32), np.zeros(len(offs), np.int64)
-        ascii_next = np.append(buf[1:] < 0x80, True)
-        buf = np.where(ascii_next, LOWER[buf], buf)  # a letter before a combining mark is the library's to lower
-        w, kind = Words(buf, offs), KIND[buf]
-        inner = np.flatnonzero(kind[1:] * kind[:-1] == 2) + 1  # a word byte beside a sign
-        inner = inner[~np.isin(inner, offs)]
-        start = np.sort(np.concatenate([w.start, inner]))
-        end = np.sort(np.concatenate([w.end, inner]))
-        ids, n = self.cache.ids(buf, start, end)
-        return ids, np.concatenate([[0], np.cumsum(n)])[np.searchsorted(start, offs)]
+        w = Words(buf, offs)
+        ids, n = self.cache.ids(buf, w.start, w.end)
+        return ids, np.concatenate([[0], np.cumsum(n)])[w.first]
 
 
 _LOADED: dict[str, WordTokenizer] = {}
@@ -209,18 +183,17 @@ def write_shards(tokens: DataFrame, rank: np.ndarray, ws: Workspace, shards: int
     dealt = tokens.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "ids").withColumn("shard", F.spark_partition_id())
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, counts, blocks, shard = [], [], [], None
+        docs, ranks, shard = [], [], None
         for b in batches:
-            for piece in slices(b, "ids"):
+            for piece in [b.slice(i, 256) for i in range(0, b.num_rows, 256)]:
                 buf, offs = utf8(piece.column(1))
-                first = offs // np.dtype(kind).itemsize
+                values, wide = shared.value[buf.view(kind)], np.dtype(kind).itemsize
                 docs += piece.column(0).to_pylist()
-                counts += np.diff(first).tolist()
-                blocks += pack(shared.value[buf.view(kind)], first)
+                ranks += [values[a // wide : e // wide] for a, e in zip(offs[:-1], offs[1:])]
                 shard = piece.column(2)[0].as_py()
         if shard is not None:
-            uri = put_file(folder, f"tokens-{shard:06d}.rvl", shard_bytes(docs, counts, blocks))
-            yield pa.record_batch([pa.array([shard], pa.int32()), pa.array([uri]), pa.array([len(docs)], pa.int64()), pa.array([sum(counts)], pa.int64())], ["shard", "uri", "documents", "ids"])
+            uri = put_file(folder, f"tokens-{shard:06d}.rvl", shard_bytes(docs, ranks))
+            yield pa.record_batch([pa.array([shard], pa.int32()), pa.array([uri]), pa.array([len(docs)], pa.int64()), pa.array([sum(map(len, ranks))], pa.int64())], ["shard", "uri", "documents", "ids"])
 
     listed = dealt.mapInArrow(write, SHARDS)
     return ws.table(listed, "shard_list")
@@ -246,8 +219,7 @@ def read_shards(listed: DataFrame, rank: np.ndarray) -> DataFrame:
                 shard, a = Shard(uri), 0
                 while a < shard.documents:
                     e = max(a + 1, int(np.searchsorted(shard.first, shard.first[a] + (1 << 18), "right")) - 1)
-                    data, at = shared.value[shard.ranks(a, e)].tobytes(), (4 * (shard.first[a : e + 1] - shard.first[a])).tolist()
-                    ids = [data[x:y] for x, y in zip(at, at[1:])]
+                    ids = [shared.value[r].tobytes() for r in shard.ranks(a, e)]
                     yield pa.record_batch([pa.array(shard.doc_ids[a:e]), pa.array(base + shard.first[a:e]), pa.array(np.diff(shard.first[a : e + 1])), pa.array(ids, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
                     a = e
                 shard.read.close()
