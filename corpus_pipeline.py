@@ -1,13 +1,68 @@
-"""The corpus pipeline: stages of the corpus operators, each on what its predecessor kept."""
+"""The corpus pipeline: toxicity, near-dedup, repeats, decontamination, tokens.
+
+Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns
+of documents.  Null texts count as empty, rows without a doc_id pass the near-dedup stage, and an empty table gives an
+empty result.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from swellworks.llm import bpe, decontaminate, simhash, suffix, toxicity
+from swellworks.llm.runtime import Workspace
+
+VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+#: Bytes of a repeated passage: below 50 words of prose, above any single line that documents share by chance.
+REPEAT, REPEAT_GRAM = 240, 120
+
+
+def nontoxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score stays below the threshold of their language."""
+    return toxicity.accepted(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the smallest doc_id, of each group of near-duplicates (five words, similarity 0.8)."""
+    ws = Workspace(spark, "near_dedup")
+    groups = ws.table(simhash.similar_groups(docs, k=5, least=0.8, ws=ws), "groups")
+    kept = groups.where("doc_id = group_id").select("doc_id")
+    return docs.where("doc_id IS NOT NULL").join(kept, "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without passages that stand anywhere else in the corpus as well."""
+    out = suffix.without_repeats(docs, REPEAT, REPEAT_GRAM, text=True)
+    return out.withColumn("text", F.col("kept")).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item (0.8 of its shingles of five words)."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids and the digests of ids and of the text decoded from them."""
+    return bpe.round_trip(docs, VOCABULARY)
+
+
+STAGES = [
+    ("toxicity", nontoxic),
+    ("simhash near-dedup", near_dedup),
+    ("suffix-array dedup", without_repeats),
+    ("benchmark decontamination", decontaminated),
+    ("byte-level BPE", encoded),
+]
+
+#: A trained classifier and similarity groups have no SQL form; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on documents, each written as Parquet and read again by the next."""
+    ws = Workspace(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for i, (_, stage) in enumerate(STAGES):
+        docs = ws.table(stage(spark, docs, sf_dir), f"stage{i}")
     return docs

@@ -256,6 +256,15 @@ def encode_texts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
 
 def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode every whole text, decode its ids, digest both."""
+    return _encoded(docs, vocabulary, False)
+
+
+def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids array<int>): the ids as well."""
+    return _encoded(docs, vocabulary, True)
+
+
+def _encoded(docs: DataFrame, vocabulary: str, with_ids: bool) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
 
     def work(piece: pa.RecordBatch) -> pa.RecordBatch:
@@ -265,6 +274,7 @@ def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
         raw, text = ids.astype("<u4"), ranks.decode(ids)
         byte = np.concatenate([[0], np.cumsum(ranks.sizes[ids])])[first]
         sha = lambda x, at: [hashlib.sha256(x[a:b]).hexdigest() for a, b in zip(at[:-1], at[1:])]
-        return pa.record_batch([piece.column(0), pa.array(np.diff(first)), pa.array(sha(raw, first), pa.string()), pa.array(sha(text, byte), pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        lists = [pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids.astype(np.int32)))] if with_ids else []
+        return pa.record_batch([piece.column(0), pa.array(np.diff(first)), pa.array(sha(raw, first), pa.string()), pa.array(sha(text, byte), pa.string()), *lists], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids])
 
-    return map_slices(docs.select("doc_id", "text"), "text", work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_slices(docs.select("doc_id", "text"), "text", work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

@@ -173,3 +173,20 @@ def item_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[i
             block, held = [], 0
     if block:
         yield block
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, least: float = CONTAINMENT, block_bytes: int = 8 << 20) -> DataFrame:
+    """The rows of docs, all columns, that hold no test item: one pass over the documents for each block of items."""
+    names, out, spark = docs.columns, docs, docs.sparkSession
+    schema = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names)
+    for block in item_blocks(benchmark, block_bytes):
+        items = {n: item_shingles(text) for n, (_, text) in enumerate(block)}
+        shared = spark.sparkContext.broadcast((build(items), items))
+
+        def work(piece: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
+            keep = np.ones(piece.num_rows, bool)
+            keep[[f[0] for f in find(*shared.value, *utf8(piece.column(names.index("text"))), least)]] = False
+            return piece.filter(pa.array(keep))
+
+        out = map_slices(out, "text", work, schema)
+    return out

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -24,6 +25,18 @@ def shared_root(spark: SparkSession) -> str:
     return "file://" + local
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python, unless the path they inherit has it already."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    inherited = {os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p} | {os.getcwd()}
+    sc = spark.sparkContext
+    if root in inherited or getattr(sc, "_swellworks_shipped", False):
+        return
+    folder = tempfile.mkdtemp()
+    sc.addPyFile(shutil.make_archive(f"{folder}/swellworks", "zip", root, "swellworks"))
+    sc._swellworks_shipped = True
+
+
 class Workspace:
     """A run's own folder below the shared root.
 
@@ -32,6 +45,7 @@ class Workspace:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark, self.uri = spark, f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
     def path(self, name: str) -> str:
@@ -124,6 +138,7 @@ def map_slices(df: DataFrame, column: str, work: Callable, schema: str, limit: i
                 if out is not None and out.num_rows:
                     yield out
 
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -8,6 +8,8 @@ collides in some table, without exception.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -15,7 +17,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from swellworks.llm.components import components
 from swellworks.llm.runtime import Workspace, map_slices, ragged, utf8
-from swellworks.llm.words import LOWER, Words
+from swellworks.llm.words import LOWER, Words, joined, mix
 
 SEED = 42
 
@@ -118,3 +120,117 @@ def near_duplicates(docs: DataFrame, k: int, radius: int, ws: Workspace | None =
     known = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("label", "rep").alias("component_id"))
     out = prints.join(ws.table(known, "known"), "fp", "left")
     return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+SKETCH, OVERLAP = 16, 4  # segments a document files under, and how many of them two similar documents share
+CUT = 8  # a segment begins at about every 8th word
+FAR = 24  # bits beyond which two documents aren't compared
+
+
+def sketches(docs: DataFrame, k: int) -> DataFrame:
+    """(doc_id, words0, words1, n, fp, tokens array<long>): identity of the word sequence, number of shingles, fingerprint, segments.
+
+    Segments begin at words whose hash is 0 modulo CUT, wherever they stand, so an edit changes the segments around it
+    and no other.  A segment's token is the SimHash of its shingles; a document has the SKETCH tokens least by hash.
+    """
+
+    def work(piece: pa.RecordBatch) -> pa.RecordBatch:
+        buf, offs = utf8(piece.column(1))
+        h, first = shingle_hashes(buf, offs, k)
+        w = Words(LOWER[buf], offs)
+        wh, n = w.hashes(), np.diff(first)
+        at = ragged(w.first[:-1], n)  # the word at which each shingle starts
+        cut = wh[at] % np.uint64(CUT) == 0 if len(at) else np.empty(0, bool)
+        cut[first[:-1][n > 0]] = True
+        head = np.append(np.flatnonzero(cut), len(h))
+        token = mix(majority_bits(h, head))
+        owner = np.searchsorted(first, head[:-1], "right") - 1
+        order = np.lexsort((token, owner))
+        token, owner = token[order], owner[order]
+        same = np.zeros(len(token), bool)
+        same[1:] = (token[1:] == token[:-1]) & (owner[1:] == owner[:-1])
+        token, owner = token[~same], owner[~same]
+        bounds = np.searchsorted(owner, np.arange(piece.num_rows + 1))
+        low = np.arange(len(token)) - bounds[owner] < SKETCH
+        kept = np.concatenate([[0], np.cumsum(low)])[bounds]
+        text = [joined(buf, w.start[a:b], w.end[a:b]) for a, b in zip(w.first[:-1], w.first[1:])]
+        wide = np.frombuffer(b"".join(xxhash.xxh3_128_digest(bytes(LOWER[np.frombuffer(t, np.uint8)])) for t in text), np.int64).reshape(-1, 2)
+        tokens = pa.ListArray.from_arrays(pa.array(kept.astype(np.int32)), pa.array(token[low].view(np.int64)))
+        return pa.record_batch([piece.column(0), pa.array(wide[:, 0]), pa.array(wide[:, 1]), pa.array(n), pa.array(majority_bits(h, first).view(np.int64)), tokens], ["doc_id", "words0", "words1", "n", "fp", "tokens"])
+
+    return map_slices(docs.select("doc_id", "text"), "text", work, "doc_id long, words0 long, words1 long, n long, fp long, tokens array<long>")
+
+
+def candidate_pairs(reps: DataFrame, ws: Workspace, small: int = 64) -> DataFrame:
+    """(a, b), a < b: documents to compare.  ``reps`` has doc_id, n, fp, tokens of documents with different words.
+
+    Documents file under their rarest tokens: two that share OVERLAP of SKETCH tokens also share one of the rarest
+    SKETCH - OVERLAP + 1 (in proportion for shorter sketches), so frequent passages don't decide.  Up to ``small``
+    documents under a token are all paired.  More form no group: each meets the smallest of them and its neighbours in order
+    of fingerprint.  Sizes that rule the similarity out and fingerprints over FAR bits apart are left out.
+    """
+    filed = reps.select("doc_id", F.explode("tokens").alias("token"))
+    counts = ws.table(filed.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "df")
+    ranked = filed.join(counts, "token", "left").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "token"))).alias("r"))
+    prefix = F.slice("r", 1, F.size("r") - F.ceil(F.size("r") * OVERLAP / SKETCH).cast("int") + 1)
+    rare = ranked.select("doc_id", F.explode(F.filter(prefix, lambda x: x.df > 1)).alias("x")).select("doc_id", "x.token", "x.df")
+    rows = ws.table(rare.join(reps.select("doc_id", "n", "fp"), "doc_id"), "filed")
+    similar = "least(x.n, y.n) >= 0.8 * greatest(x.n, y.n) AND bit_count(x.fp ^ y.fp) <= " + str(FAR)
+    member = F.struct("doc_id", "n", "fp")
+    pairs = f"flatten(transform(g, x -> transform(filter(g, y -> y.doc_id > x.doc_id AND {similar}), y -> struct(x.doc_id AS a, y.doc_id AS b))))"
+    few = rows.where(F.col("df") <= small).groupBy("token").agg(F.collect_list(member).alias("g")).select(F.explode(F.expr(pairs)).alias("p")).select("p.a", "p.b")
+    many = rows.where(F.col("df") > small)
+    hubs = ws.table(many.groupBy("token").agg(F.min(member).alias("x")), "hubs")
+    star = many.join(hubs, "token").select("x", F.struct("doc_id", "n", "fp").alias("y")).where("y.doc_id > x.doc_id AND " + similar).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+
+    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: list[tuple] = []
+        for batch in batches:
+            out = []
+            for token, doc, n, fp in zip(*(c.to_pylist() for c in batch.columns)):
+                out += [(min(doc, d), max(doc, d)) for t, d, m, f in last if t == token and d != doc and min(n, m) >= 0.8 * max(n, m) and ((fp ^ f) & (1 << 64) - 1).bit_count() <= FAR]
+                last = [*last[-2:], (token, doc, n, fp)]
+            if out:
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
+
+    order = ["token", "fp", "doc_id"]
+    spread = max(1, -(-many.count() // 100_000))
+    near = many.select("token", "doc_id", "n", "fp").repartitionByRange(spread, *order).sortWithinPartitions(*order).mapInArrow(neighbours, "a long, b long")
+    return few.union(star).union(near).distinct()
+
+
+def verified(pairs: DataFrame, docs: DataFrame, k: int, least: float) -> DataFrame:
+    """The pairs whose k-word shingle sets have a Jaccard similarity of at least ``least``."""
+    texts = docs.select("doc_id", "text")
+    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
+
+    def work(piece: pa.RecordBatch) -> pa.RecordBatch | None:
+        (hx, fx), (hy, fy) = (shingle_hashes(*utf8(piece.column(c)), k) for c in (2, 3))
+        good = []
+        for i in range(piece.num_rows):
+            x, y = np.unique(hx[fx[i] : fx[i + 1]]), np.unique(hy[fy[i] : fy[i + 1]])
+            shared = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
+            good.append(shared >= least * (len(x) + len(y) - shared) - 1e-9)
+        return pa.record_batch([c.filter(pa.array(good)) for c in piece.columns[:2]], ["a", "b"])
+
+    return map_slices(both, "x", work, "a long, b long")
+
+
+def similar_groups(docs: DataFrame, k: int = 5, least: float = 0.8, ws: Workspace | None = None) -> DataFrame:
+    """(doc_id, group_id): the smallest doc_id reachable over pairs of documents with a shingle similarity of at least ``least``.
+
+    Documents with the same words form a class first; one of them is compared.  SimHash makes the candidates (equal segment
+    fingerprints; the covering tables link whole fingerprints at up to two bits), exact shingle sets decide.
+    Rows without a doc_id are left out; repeated rows count once; an empty table gives an empty result.
+    """
+    ws = ws or Workspace(docs.sparkSession, "similar")
+    texts = docs.where("doc_id IS NOT NULL")
+    every = ws.table(sketches(texts, k), "sketches")
+    classes = ws.table(every.groupBy("words0", "words1").agg(F.min(F.struct("doc_id", "n", "fp", "tokens")).alias("r")).select("words0", "words1", "r.*"), "classes")
+    prints = ws.table(classes.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fps")
+    pairs = candidate_pairs(classes, ws).union(links(prints, 2, ws)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    edges = ws.table(verified(ws.table(pairs, "pairs"), texts.dropDuplicates(["doc_id"]), k, least), "edges")
+    ws.reclaim()
+    labels = components(edges, ws)
+    known = ws.table(classes.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("words0", "words1", F.coalesce("label", "doc_id").alias("group_id")), "known")
+    return every.join(known, ["words0", "words1"]).groupBy("doc_id").agg(F.min("group_id").alias("group_id"))
