@@ -1 +1 @@
-
+"""Operators on bulletins, forecasts and stations."""

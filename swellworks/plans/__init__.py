@@ -1 +1 @@
-
+"""Queries and the public functions."""

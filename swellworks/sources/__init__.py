@@ -1 +1 @@
-
+"""Readers of bulletins and station files."""
