@@ -3,8 +3,10 @@
 Test items are partitioned by their number of word shingles, [8, 16), [16, 32) and so on.  For the partition with
 upper bound u a document counts as its windows of 2u shingles, one every u: an item that a document holds within u
 shingles lies inside one of them, whose size is of the item's order, so containment turns into a Jaccard bound that does not
-depend on the document's length.  Items and windows get one-permutation MinHash signatures of 8u bins (a bin is the
-hash modulo 8u, its value the least hash); a window and an item with an equal bin are candidates.  Every candidate is
+depend on the document's length.  Items and windows get one-permutation MinHash signatures (a bin is the hash modulo
+the number of bins, its value the least hash); a window and an item with an equal bin are candidates.  There are so
+many bins, 2^20 u, that a shingle shares its bin with another of its window once in half a million times: items of a
+single shingle are found as well, and an item of n shingles is missed if that happens to all it shares.  Every candidate is
 verified: the exact share of the item's distinct shingles that occur in the document.
 """
 
@@ -52,7 +54,7 @@ def _shingle_hashes(buf: np.ndarray, offs: np.ndarray, k: int) -> tuple[Words, n
 
 
 def bins_of(upper: int) -> int:
-    return 8 * upper
+    return upper << 20
 
 
 def build(items: dict[int, tuple[int, frozenset[bytes]]]) -> list[SizePartition]:
