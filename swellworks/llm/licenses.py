@@ -139,8 +139,12 @@ def _kin(a: str, b: str) -> bool:
 
 
 def scan(text: str | None) -> list[Match]:
-    """Confirmed licenses of a text, in order of their blocks."""
-    return [Match(name, line, saved, missing, extra) for line, block in blocks(text or "") for name, saved, missing, extra in classify(block)]
+    """Confirmed licenses of a text, in order of their blocks; stretches of one long line report a license once."""
+    found: dict[tuple[str, int], Match] = {}
+    for line, block in blocks(text or ""):
+        for name, saved, missing, extra in classify(block):
+            found.setdefault((name, line), Match(name, line, saved, missing, extra))
+    return list(found.values())
 
 
 def may_hold(text: Column) -> Column:
