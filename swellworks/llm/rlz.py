@@ -18,12 +18,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from swellworks.llm.runtime import Workspace, map_slices, ragged, utf8
 from swellworks.llm.words import Words, _powers, joined, mix, sliding_min
 
-WINDOW, GRAM = 13, 5
+WINDOW, GRAM = 13, 7
 _U = np.uint64
 _PLACE = 26  # bits of a word's number within a piece of work
 
@@ -71,6 +71,17 @@ class Anchors:
         return h[ragged(bounds[self.doc] + self.start, self.count)]
 
 
+def _placed() -> Column:
+    """A place as one number, in order of (doc_id, pos): Spark hash-aggregates minima of numbers but sorts for structs."""
+    return (F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(12,0)") + F.col("pos")).cast("decimal(38,0)")
+
+
+def _unplaced(name: str) -> list[Column]:
+    """src_doc and src_pos of a place."""
+    pos = f"CAST(pmod({name}, CAST(4294967296 AS DECIMAL(12,0))) AS BIGINT)"
+    return [F.expr(f"({name} - {pos}) div 4294967296").alias("src_doc"), F.expr(f"CAST({pos} AS INT)").alias("src_pos")]
+
+
 def _ids(column: pa.Array, doc: np.ndarray) -> pa.Array:
     return column.take(pa.array(doc))
 
@@ -88,7 +99,7 @@ def sources(docs: DataFrame, ws: Workspace, window: int = WINDOW, gram: int = GR
 
     anchors = ws.table(map_slices(texts, "text", anchor_rows, "doc_id long, h long"), "anchors")
     shared = ws.table(anchors.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h"), "shared")
-    wanted = ws.table(anchors.join(shared, "h").groupBy("doc_id").agg(F.collect_set("h").alias("shared")), "wanted")
+    wanted = ws.table(anchors.join(shared.hint("shuffle_hash"), "h").groupBy("doc_id").agg(F.collect_set("h").alias("shared")), "wanted")
     ws.drop("anchors", "shared")
     ws.reclaim()
 
@@ -109,14 +120,18 @@ def sources(docs: DataFrame, ws: Workspace, window: int = WINDOW, gram: int = GR
     segments = ws.table(map_slices(found, "text", segment_rows, "doc_id long, t long, h long, seg long, pos int, windows array<long>"), "segments")
     ws.drop("wanted")
     ws.reclaim()
-    first = F.min(F.struct(F.col("doc_id").alias("src_doc"), F.col("pos").alias("src_pos"))).alias("src")
-    by_segment = ws.table(segments.groupBy("h", "seg").agg(first).select("h", "seg", "src.*"), "by_segment")
-    met = ws.table(segments.join(by_segment, ["h", "seg"]), "met")
-    ws.drop("segments")
+    first = F.min(_placed()).alias("src")
+    classes = ws.table(segments.groupBy("h", "seg").agg(first), "classes")
+    several = classes.groupBy("h").agg((F.count(F.lit(1)) > 1).alias("several"))
+    known = ws.table(classes.join(several, "h"), "known")
+    met = ws.table(segments.join(known.hint("shuffle_hash"), ["h", "seg"]).select("doc_id", "t", "h", "pos", F.col("windows"), "several", *_unplaced("src")).where("doc_id > src_doc OR several"), "met")
+    ws.drop("segments", "classes", "known")
+    ws.reclaim()
     whole = met.where("doc_id > src_doc").select("doc_id", "t", "pos", F.size("windows").alias("n"), "src_doc", "src_pos")
-    single = ws.table(met.where("doc_id = src_doc").select("doc_id", "t", "h", "pos", F.posexplode("windows").alias("i", "w")).select("doc_id", "t", "h", "w", (F.col("pos") + F.col("i")).alias("pos")), "windows")
-    by_window = ws.table(single.groupBy("h", "w").agg(first, F.max("doc_id").alias("hi")).where("src.src_doc < hi").select("h", "w", "src.*"), "by_window")
-    parts = single.join(by_window, ["h", "w"]).where("doc_id > src_doc").select("doc_id", "t", "pos", F.lit(1).alias("n"), "src_doc", "src_pos")
+    # a segment that no smaller document has whole may still share windows with other segments of its anchor
+    single = met.where("doc_id = src_doc").select("doc_id", "t", "h", "pos", F.posexplode("windows").alias("i", "w")).select("doc_id", "t", "h", "w", (F.col("pos") + F.col("i")).alias("pos"))
+    by_window = ws.table(single.groupBy("h", "w").agg(first, F.max("doc_id").alias("hi")).select("h", "w", "hi", *_unplaced("src")).where("src_doc < hi").drop("hi"), "by_window")
+    parts = single.join(by_window.hint("shuffle_hash"), ["h", "w"]).where("doc_id > src_doc").select("doc_id", "t", "pos", F.lit(1).alias("n"), "src_doc", "src_pos")
     return whole.unionByName(parts)
 
 
@@ -171,7 +186,7 @@ def removed(docs: DataFrame, window: int = WINDOW, text: bool = False) -> DataFr
     """
     ws = Workspace(docs.sparkSession, "rlz")
     found = ws.table(sources(docs, ws, window), "sources")
-    ws.drop("met", "windows", "by_window", "by_segment")
+    ws.drop("met", "by_window")
     ws.reclaim()
 
     def work(piece: pa.RecordBatch) -> pa.RecordBatch:

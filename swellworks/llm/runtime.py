@@ -6,6 +6,7 @@ import gc
 import os
 import shutil
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -63,8 +64,10 @@ class Workspace:
 
     def reclaim(self) -> None:
         """Let Spark delete the shuffle files of finished queries."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(2):
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.3)
 
 
 def put_file(folder: str, name: str, parts: Iterable[bytes]) -> str:
