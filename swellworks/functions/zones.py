@@ -29,7 +29,8 @@ OFFERED = ("Africa", "America", "Antarctica", "Arctic", "Asia", "Atlantic", "Aus
 
 def zone_dimension(spark: SparkSession) -> DataFrame:
     """SRC8: (name, lookup, zone) of all names, ``zone`` as Java knows it.  Some 600 rows."""
-    java = set(spark._jvm.java.time.ZoneId.getAvailableZoneIds())
+    ids = spark._jvm.java.time.ZoneId
+    java = set(ids.getAvailableZoneIds()) | set(ids.SHORT_IDS.keySet())
     names = sorted(n for n in zoneinfo.available_timezones() if n in java or n in ALIASES)
     return spark.createDataFrame([(n, n.lower(), ALIASES.get(n, n)) for n in names], "name string, lookup string, zone string")
 
