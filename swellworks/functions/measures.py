@@ -77,3 +77,8 @@ def time_band(local: Column) -> Column:
     """Day from 6:00 to 19:00, night from 20:00 to 5:00, both with their ends; null between."""
     minute = F.hour(local) * 60 + F.minute(local)
     return F.when(minute.between(360, 1140), "day").when((minute >= 1200) | (minute <= 300), "night")
+
+
+def url_parameter(value: Column) -> Column:
+    """Percent-encoded text; a blank is %20."""
+    return F.replace(F.url_encode(value), F.lit("+"), F.lit("%20"))

@@ -338,3 +338,36 @@ def xlsx_grid(spark, sf_dir):
 def table_view(spark, sf_dir):
     """The flagship on this table size."""
     return flagship(spark, sf_dir)
+
+
+@query("SELECT s_suppkey, url_encode(s_name || ' & ' || CAST(s_suppkey AS VARCHAR)) AS query_text FROM supplier")
+def url_parameters(spark, sf_dir):
+    """Text for a query string, blanks as %20."""
+    text = F.concat("s_name", F.lit(" & "), F.col("s_suppkey").cast("string"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", m.url_parameter(text).alias("query_text"))
+
+
+@query("SELECT s_name AS value, s_name || ' - ' || CAST(s_nationkey AS VARCHAR) AS label, s_suppkey = 7 AS selected FROM supplier")
+def station_options(spark, sf_dir):
+    """SNK6: a choice of stations, labels led by the id, one selected."""
+    s = table(spark, sf_dir, "supplier")
+    chosen = s.where("s_suppkey = 7").select("s_name").first()
+    rows = s.select(F.col("s_name").alias("id"), F.col("s_nationkey").cast("string").alias("name"))
+    return stations_of.station_options(rows, chosen.s_name if chosen else "", prefix=True)
+
+
+@query("""
+SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'bulletin file is empty' WHEN 1 THEN 'data section not found' WHEN 2 THEN 'no data rows' END AS error,
+  CAST(CASE WHEN o_orderkey % 4 = 3 THEN 1 ELSE 0 END AS INTEGER) AS parsed FROM orders""")
+def bulletin_errors(spark, sf_dir):
+    """Every error value, from bulletins that lack something."""
+    texts = F.array(F.lit(""), F.lit("a\nb"), F.lit("| day & |\n| 30 24 | 1.0 |"), F.lit("| day & |\n| 30 18 | 1.0 |"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.get(texts, (F.col("o_orderkey") % 4).cast("int")).alias("value"), F.lit("20250130").alias("run_date"), F.lit("18").alias("run_hour"))
+    return bulletin.parsed(o).select("o_orderkey", "error", F.coalesce(F.size("rows"), F.lit(0)).alias("parsed"))
+
+
+@query("SELECT DISTINCT CAST(user_id AS VARCHAR) AS station_id, CAST(21.67 AS DOUBLE) AS lat, CAST(-158.12 AS DOUBLE) AS lon, '2024-01-01 00:00:00' AS cycle, 'Pacific/Honolulu' AS tz FROM events")
+def bulletin_headers(spark, sf_dir):
+    """Section 1.4's header: cycle, position and zone of composed bulletins."""
+    head = bulletin.with_header(compose.bulletins_a(spark, sf_dir))
+    return head.select("station_id", "lat", "lon", F.date_format("cycle_ts", "yyyy-MM-dd HH:mm:ss").alias("cycle"), "tz")
