@@ -1,8 +1,7 @@
 from __future__ import annotations
 
 import pytest
-
-SF = "/root/testdata/sf0.001"
+from corpus_helpers import SF
 
 
 @pytest.fixture(scope="session")
@@ -23,7 +22,3 @@ def odd(spark):
 @pytest.fixture(scope="session")
 def empty(spark):
     return spark.createDataFrame([], "doc_id long, text string, lang string")
-
-
-def rows(df, *columns):
-    return sorted((tuple(r) for r in (df.select(*columns) if columns else df).collect()), key=repr)

@@ -3,7 +3,7 @@ from __future__ import annotations
 import random
 import re
 
-from conftest import SF, rows
+from corpus_helpers import SF, rows
 
 from swellworks.llm import decontaminate as dc
 

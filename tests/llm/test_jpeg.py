@@ -6,7 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
-from conftest import rows
+from corpus_helpers import rows
 
 from swellworks.llm import jpeg
 

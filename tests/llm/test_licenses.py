@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from conftest import rows
+from corpus_helpers import rows
 
 from swellworks.llm import licenses as lic
 

@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from conftest import SF
+from corpus_helpers import SF
 
 from swellworks.llm import simhash
 

@@ -6,7 +6,7 @@ import re
 from collections import Counter
 
 import pytest
-from conftest import rows
+from corpus_helpers import rows
 
 from swellworks.llm import rlz, suffix
 

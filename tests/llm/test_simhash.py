@@ -5,7 +5,7 @@ import re
 from itertools import combinations
 
 import xxhash
-from conftest import rows
+from corpus_helpers import rows
 from pyspark.sql import functions as F
 
 from swellworks.llm import simhash

@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import tiktoken
-from conftest import rows
+from corpus_helpers import rows
 from tokenizers import Tokenizer
 
 from swellworks.llm import bpe, token_files

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import hashlib
 
-from conftest import rows
+from corpus_helpers import rows
 
 from swellworks.llm import warc
 from swellworks.llm.runtime import Workspace
