@@ -33,8 +33,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages that stand anywhere else in the corpus as well."""
-    out = suffix.without_repeats(docs, REPEAT, REPEAT_GRAM, text=True)
-    return out.withColumn("text", F.col("kept")).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    out = suffix.cleaned(docs, REPEAT, REPEAT_GRAM)
+    return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -251,39 +251,54 @@ def merged(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return a[head], b[np.append(head[1:], len(a)) - 1] if len(a) else b
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP, text: bool = False) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]): each document without its repeated spans.
+def _with_spans(docs: DataFrame, names: list[str], length: int, gram: int, group: int) -> DataFrame:
+    """The columns ``names``, _text, and the arrays _start and _size of each document's repeated spans (null without any)."""
+    ws = Workspace(docs.sparkSession, "suffix")
+    spans = repeated_spans(docs.select("doc_id", "text"), ws, length, gram, group).groupBy("d", "t").agg(F.collect_list(F.struct("start", "size")).alias("s"))
+    spans = spans.select(F.col("d").alias("_d"), F.col("t").alias("_t"), F.col("s.start").alias("_start"), F.col("s.size").alias("_size"))
+    texts = docs.select(*names, F.col("text").alias("_text"), F.coalesce("doc_id", F.lit(NO_ID)).alias("_d"), F.xxhash64("text").alias("_t"))
+    return texts.join(spans, ["_d", "_t"], "left").select(*names, "_text", "_start", "_size")
+
+
+def _each(piece: pa.RecordBatch, k: int) -> Iterator[tuple[bytes, int, list[bytes]]]:
+    """(text, number of spans, parts that stay) of every row; the text is column k, its spans follow."""
+    buf, offs = utf8(piece.column(k))
+    starts, sizes = piece.column(k + 1), piece.column(k + 2)
+    s, z = starts.values.to_numpy(zero_copy_only=False), sizes.values.to_numpy(zero_copy_only=False)
+    so, zo = starts.offsets.to_numpy(), sizes.offsets.to_numpy()
+    for i in range(piece.num_rows):
+        data = buf[offs[i] : offs[i + 1]].tobytes()
+        a, b = merged(s[so[i] : so[i + 1]], z[zo[i] : zo[i + 1]])
+        cuts = [0, *np.stack([a, b], axis=1).ravel().tolist(), len(data)]
+        yield data, len(a), [data[x:y] for x, y in zip(cuts[::2], cuts[1::2])]
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256): each document without its repeated spans.
+
+    Every occurrence of a repeat goes, the first too.  Null text counts as empty; repeated rows are documents of their
+    own, and a null doc_id is a document like any other; an empty table gives an empty result; other columns are ignored.
+    """
+
+    def work(piece: pa.RecordBatch) -> pa.RecordBatch:
+        rows = [(len(data), len(data) - sum(map(len, kept)), n, hashlib.sha256(b"".join(kept)).hexdigest()) for data, n, kept in _each(piece, 1)]
+        total, gone, spans, digest = zip(*rows)
+        return pa.record_batch([piece.column(0), *[pa.array(c, pa.int64()) for c in (total, gone, spans)], pa.array(digest, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    return map_slices(_with_spans(docs, ["doc_id"], length, gram, group), "_text", work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
-    Every occurrence of a repeat goes, the first too.  ``kept`` is text: bytes of characters that a span cuts are left
-    out of it (not of the digest).  Null text counts as empty; repeated rows are documents of their own, and a null doc_id
-    is a document like any other; an empty table gives an empty result.
+
+def cleaned(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
+    """docs, all columns, with repeated spans cut out of text (null text becomes empty).
+
+    Characters that the end of a span cuts in two are left out as well.
     """
-    ws = Workspace(docs.sparkSession, "suffix")
-    spans = repeated_spans(docs, ws, length, gram, group).groupBy("d", "t").agg(F.collect_list(F.struct("start", "size")).alias("s")).select("d", "t", "s.start", "s.size")
-    names = ["doc_id", *[c for c in docs.columns if c not in ("doc_id", "text", "start", "size")]] if text else ["doc_id"]
-    texts = docs.select(*names, "text", F.coalesce("doc_id", F.lit(NO_ID)).alias("_d"), F.xxhash64("text").alias("_t"))
-    rows = texts.join(spans.withColumnsRenamed({"d": "_d", "t": "_t"}), ["_d", "_t"], "left").select(*names, "text", "start", "size")
+    names = docs.columns
     k = len(names)
 
     def work(piece: pa.RecordBatch) -> pa.RecordBatch:
-        buf, offs = utf8(piece.column(k))
-        starts, sizes = piece.column(k + 1), piece.column(k + 2)
-        s, z = starts.values.to_numpy(zero_copy_only=False), sizes.values.to_numpy(zero_copy_only=False)
-        so, zo = starts.offsets.to_numpy(), sizes.offsets.to_numpy()
-        total, gone, runs, digest, kept = [], [], [], [], []
-        for i in range(piece.num_rows):
-            data = buf[offs[i] : offs[i + 1]].tobytes()
-            a, b = merged(s[so[i] : so[i + 1]], z[zo[i] : zo[i + 1]])
-            cuts = [0, *np.stack([a, b], axis=1).ravel().tolist(), len(data)]
-            rest = b"".join(data[x:y] for x, y in zip(cuts[::2], cuts[1::2]))
-            total.append(len(data))
-            gone.append(len(data) - len(rest))
-            runs.append(len(a))
-            digest.append(hashlib.sha256(rest).hexdigest())
-            if text:
-                kept.append("".join(data[x:y].decode("utf-8", "ignore") for x, y in zip(cuts[::2], cuts[1::2])))
-        more = [pa.array(kept, pa.string())] if text else []
-        return pa.record_batch([*[piece.column(i) for i in range(k)], pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(runs, pa.int64()), pa.array(digest, pa.string()), *more], [*names, "n_bytes", "n_removed", "n_spans", "kept_sha256", *["kept"] * text])
-
-    schema = ", ".join(f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in names) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * text
-    return map_slices(rows, "text", work, schema)
+        text = pa.array(["".join(p.decode("utf-8", "ignore") for p in kept) for _, _, kept in _each(piece, k)], pa.string())
+        return pa.record_batch([text if n == "text" else piece.column(i) for i, n in enumerate(names)], names)
+
+    schema = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names)
+    return map_slices(_with_spans(docs, names, length, gram, group), "_text", work, schema)

@@ -231,16 +231,16 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 4000, negatives: in
     return train(features, np.array([r.toxic == 1 for r in got], float), [r.lang for r in got], rate)
 
 
-def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (default doc_id) and score, for every row's whole text; null text counts as empty."""
+def score(docs: DataFrame, model: Model, keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """The columns ``keep`` (default doc_id) and the score under ``name``, for every row's whole text; null text counts as empty."""
     names = keep or ["doc_id"]
     rows = docs.select(*names, F.col("text").alias("_text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(piece: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.record_batch([*piece.columns[:-1], pa.array(shared.value.score_texts(*utf8(piece.column(len(names)))))], [*names, "score"])
+        return pa.record_batch([*piece.columns[:-1], pa.array(shared.value.score_texts(*utf8(piece.column(len(names)))))], [*names, name])
 
-    schema = ", ".join(f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in names) + ", score double"
+    schema = ", ".join(f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in names) + f", {name} double"
     return map_slices(rows, "_text", work, schema, 1 << 18)
 
 
@@ -253,5 +253,6 @@ def scored(docs: DataFrame, labels: DataFrame, cut: float = 0.7) -> DataFrame:
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs, all columns, whose score stays below their language's threshold."""
     cuts = F.create_map(*[F.lit(x) for kv in model.thresholds.items() for x in kv])
-    cut = F.coalesce(F.try_element_at(cuts, F.coalesce(F.col("lang"), F.lit(""))), F.lit(model.thresholds[""]))
-    return score(docs, model, docs.columns).where(F.col("score") < cut).select(*docs.columns)
+    lang = F.coalesce(F.col("lang"), F.lit("")) if "lang" in docs.columns else F.lit("")
+    cut = F.coalesce(F.try_element_at(cuts, lang), F.lit(model.thresholds[""]))
+    return score(docs, model, docs.columns, "_toxicity").where(F.col("_toxicity") < cut).select(*docs.columns)

@@ -99,6 +99,12 @@ def test_suffix_edits(spark, length, gram, group):
     assert rows(suffix.without_repeats(df, length, gram, group)) == bytes_removed(docs, length)
 
 
+def test_cleaned_text(spark, odd):
+    docs = spark.createDataFrame([(1, "é" * 300 + "tail", "x", 3), (2, "b" + "é" * 300, "y", 4), (3, "alone", None, 5)], "doc_id long, text string, start string, n_bytes int")
+    assert rows(suffix.cleaned(docs, 60, 30)) == [(1, "tail", "x", 3), (2, "b", "y", 4), (3, "alone", None, 5)]
+    assert suffix.cleaned(odd).columns == odd.columns
+
+
 def test_intervals():
     #                      banana's suffixes a, ana, anana, banana, na, nana
     assert sorted(suffix.intervals([1, 3, 0, 0, 2])) == [(0, 0, 5), (1, 0, 2), (2, 4, 5), (3, 1, 2)]
