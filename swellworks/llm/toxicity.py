@@ -177,6 +177,8 @@ def train(features: list[np.ndarray], labels: np.ndarray, langs: list[str], base
         for a in range(0, len(mixed), batch):
             idx = mixed[a : a + batch]
             _train_batch(model, *pack(idx), y[idx], weight[idx], adam)
+    for weights in (model.tables, model.out, *model.filters, *model.bias):
+        weights[np.abs(weights) < 1e-10] = 0  # products of such weights are denormal numbers, which processors are slow at
     z = np.concatenate([model.logits(*pack(held[a : a + 64])) for a in range(0, len(held), 64)]).astype(np.float64)
     # slope and shift by weighted logistic regression, with the sample weighted back to the base rate
     share = y[held].mean()
