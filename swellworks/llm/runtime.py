@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import gc
@@ -55,16 +56,25 @@ def ship(spark: SparkSession) -> None:
     sc._swellworks_shipped = True
 
 
+def _forget(jvm, uri: str) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone already
+        at = jvm.org.apache.hadoop.fs.Path(uri)
+        at.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(at, True)
+
+
 class Workspace:
     """A run's own folder below the shared root.
 
     ``table`` cuts lineage by writing Parquet and reading it again, so a lost executor costs no more than
-    its running tasks; ``drop`` and ``reclaim`` give disk back as soon as a table or shuffle is spent.
+    its running tasks; ``drop`` and ``reclaim`` give disk back as soon as a table or shuffle is spent.  The folder goes
+    when the driver's process ends, unless ``keep`` is set (for archives or token files that are to stay).
     """
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, keep: bool = False):
         ship(spark)
         self.spark, self.uri = spark, f"{shared_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        if not keep:
+            atexit.register(_forget, spark._jvm, self.uri)
 
     def path(self, name: str) -> str:
         return f"{self.uri}/{name}"
