@@ -166,8 +166,8 @@ def candidate_pairs(reps: DataFrame, ws: Workspace, small: int = 64) -> DataFram
 
     Documents file under their rarest tokens: two that share OVERLAP of SKETCH tokens also share one of the rarest
     SKETCH - OVERLAP + 1 (in proportion for shorter sketches), so frequent passages don't decide.  Up to ``small``
-    documents under a token are all paired.  More form no group: each meets the smallest of them and its neighbours in four
-    orders of the fingerprint.  Sizes that rule the similarity out and fingerprints over FAR bits apart are left out.
+    documents under a token are all paired.  More form no group: each meets the smallest of them and its neighbours in
+    order of the fingerprint.  Sizes that rule the similarity out and fingerprints over FAR bits apart are left out.
     """
     filed = reps.select("doc_id", F.explode("tokens").alias("token"))
     counts = ws.table(filed.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "df")
@@ -187,18 +187,18 @@ def candidate_pairs(reps: DataFrame, ws: Workspace, small: int = 64) -> DataFram
         last: list[tuple] = []
         for batch in batches:
             out = []
-            for token, turn, fp, doc, n in zip(*(c.to_pylist() for c in batch.columns)):
-                out += [(min(doc, d), max(doc, d)) for t, d, m, f in last if t == (token, turn) and d != doc and min(n, m) >= 0.8 * max(n, m) and ((fp ^ f) & (1 << 64) - 1).bit_count() <= FAR]
-                last = [*last[-2:], ((token, turn), doc, n, fp)]
+            for token, _, fp, doc, n in zip(*(c.to_pylist() for c in batch.columns)):
+                out += [(min(doc, d), max(doc, d)) for t, d, m, f in last if t == token and d != doc and min(n, m) >= 0.8 * max(n, m) and ((fp ^ f) & (1 << 64) - 1).bit_count() <= FAR]
+                last = [*last[-2:], (token, doc, n, fp)]
             if out:
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
 
-    # four turns of the fingerprint, so that documents which differ in its first bits are neighbours in another order
-    turns = F.explode(F.array(*[F.struct(F.lit(r).alias("turn"), F.shiftleft("fp", r).bitwiseOR(F.shiftrightunsigned("fp", 64 - r) if r else F.lit(0)).alias("turned")) for r in (0, 16, 32, 48)])).alias("o")
-    order = ["token", "turn", "turned", "doc_id"]
+    # each token orders its documents by one of four turns of the fingerprint; documents that share several tokens
+    # meet in several orders, also where they differ in the first bits of one
+    turned = F.expr("shiftleft(fp, CAST(pmod(token, 4) * 16 AS INT)) | shiftrightunsigned(fp, CAST(64 - pmod(token, 4) * 16 AS INT))").alias("turned")
+    order = ["token", "turned", "doc_id"]
     spread = max(1, -(-many.count() // 25_000))
-    turned = many.select("token", turns, "doc_id", "n").select("token", "o.turn", "o.turned", "doc_id", "n")
-    near = turned.repartitionByRange(spread, *order).sortWithinPartitions(*order).mapInArrow(neighbours, "a long, b long")
+    near = many.select("token", turned, "fp", "doc_id", "n").repartitionByRange(spread, *order).sortWithinPartitions(*order).mapInArrow(neighbours, "a long, b long")
     return few.union(star).union(near).distinct()
 
 
