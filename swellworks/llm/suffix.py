@@ -180,18 +180,23 @@ def _block_spans(rows: DataFrame, ws: Workspace, length: int, gram: int) -> Data
     todo = open_.union(again.select(open_.columns)).groupBy("h", "d", "t", "p").agg(F.array_distinct(F.flatten(F.collect_list("open"))).alias("open"))
 
     def single(piece: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
+        """A row a window.  ``kind`` has bit 1 if the window stands twice in this piece, bit 0 for its first row there:
+        a very common window is settled where it is met, and one row of a piece stands for it in the count."""
+        places: dict[tuple[int, int, int], list[tuple]] = {}
         for row in zip(*(c.to_pylist() for c in piece.columns)):
             wanted = set(row[6])
             for b, low, high in blocks(row):
                 if b in wanted:
-                    out += [(*row[:4], o, _hash(row[4][:o], row[5][: span - o])) for o in range(low, high + 1)]
-        return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], ["h", "d", "t", "p", "o", "w"])
+                    for o in range(low, high + 1):
+                        places.setdefault((row[0], o, _hash(row[4][:o], row[5][: span - o])), []).append(row[1:4])
+        out = [(h, *x, o, w, 2 * (len(at) > 1) + (i == 0)) for (h, o, w), at in places.items() for i, x in enumerate(at)]
+        return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], ["h", "d", "t", "p", "o", "w", "kind"])
 
     ask = columns.join(ws.table(todo, "open"), ["h", "d", "t", "p"]).select("h", "d", "t", "p", "before", "behind", "open")
-    windows = ws.table(map_slices(ask, "behind", single, "h long, d long, t long, p long, o long, w long", 1 << 16), "single")
-    twice = ws.table(windows.groupBy("h", "o", "w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "twice")
-    return whole.unionByName(windows.join(twice, ["h", "o", "w"]).select("d", "t", (F.col("p") - F.col("o")).alias("start"), F.lit(length).cast("long").alias("size")))
+    windows = ws.table(map_slices(ask, "behind", single, "h long, d long, t long, p long, o long, w long, kind long", 1 << 18), "single")
+    twice = ws.table(windows.where("kind & 1 = 1").groupBy("h", "o", "w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "twice")
+    known = windows.where("kind >= 2").unionByName(windows.where("kind < 2").join(twice, ["h", "o", "w"]))
+    return whole.unionByName(known.select("d", "t", (F.col("p") - F.col("o")).alias("start"), F.lit(length).cast("long").alias("size")))
 
 
 def repeated_spans(docs: DataFrame, ws: Workspace, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
