@@ -1,16 +1,16 @@
 """License scans by conditional compression.
 
-A candidate block (lines around licensing words) is compressed with zstandard alone and with each template as raw
-dictionary; templates are ranked by how much they save.  The best ones are confirmed by exact wording differences: the
-words that a template's wording lacks or has beyond the best-fitting stretch of the block.
+A candidate block (words around licensing words, over line and sentence ends) is compressed with zstandard alone and
+with each template as raw dictionary; templates are ranked by how much they save.  The best ones are confirmed by exact wording
+differences: the words that a stretch of the block lacks or has beyond a template's wording.
 """
 
 from __future__ import annotations
 
 import functools
 import re
+from collections import Counter
 from dataclasses import dataclass
-from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +41,7 @@ TEMPLATES: dict[str, str] = {
 TRIGGERS = ("licens", "licenc", "copyright", "redistribut", "hereby granted", "public domain", "creative commons", "cc by", "source code form")
 _TRIGGER = re.compile("|".join(map(re.escape, TRIGGERS)))
 _WORD = re.compile(r"\w+(?:[-.]\w+)*")
+_VERSION = re.compile(r"\d+(?:\.\d+)*")
 MAX_DIFFERENCE = 0.2  # of a template's words
 
 
@@ -52,20 +53,20 @@ def words(text: str) -> list[str]:
 @dataclass(frozen=True)
 class Match:
     license: str
-    line: int  # of the block's first line
+    line: int  # of its first word
     saved: float  # share of the block's compressed size that the template saves
     missing: tuple[str, ...]
     extra: tuple[str, ...]
 
 
 @functools.cache
-def _templates() -> tuple[tuple[str, list[str], bytes, object], ...]:
+def _templates() -> tuple[tuple[str, list[str], bytes, object, tuple[tuple[str, int], ...]], ...]:
     made = []
     for name, text in TEMPLATES.items():
         w = words(text)
         raw = " ".join(w).encode()
         dictionary = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        made.append((name, w, raw, zstandard.ZstdCompressor(level=3, dict_data=dictionary, write_content_size=False)))
+        made.append((name, w, raw, zstandard.ZstdCompressor(level=3, dict_data=dictionary, write_content_size=False), tuple(Counter(w).items())))
     return tuple(made)
 
 
@@ -74,61 +75,97 @@ def _plain() -> object:
     return zstandard.ZstdCompressor(level=3, write_content_size=False)
 
 
-def blocks(text: str, most_words: int = 400) -> list[tuple[int, str]]:
-    """(first line, block): every line with a licensing word, joined with following lines while these run on.
+@functools.cache
+def _longest() -> int:
+    """Words of the longest stretch that can still be confirmed."""
+    return int((1 + MAX_DIFFERENCE) * max(len(t[1]) for t in _templates())) + 1
+
+
+def blocks(text: str) -> list[tuple[int, list[str], list[int]]]:
+    """(first word's number, words, their lines): all words as near to a licensing word as a confirmed stretch may reach.
 
-    A block also takes the lines that follow a trigger line until ``most_words`` words, an empty line, or the next
-    trigger block; lines longer than that come in overlapping stretches, so no part of a text is left out.
+    Neither line ends, empty lines and comment signs nor sentence ends part a block; blocks that touch are one.
     """
-    lines, out, i = text.split("\n"), [], 0
-    while i < len(lines):
-        if not _TRIGGER.search(lines[i].lower()):
-            i += 1
-            continue
-        first, taken, n = i, [lines[i]], len(lines[i].split())
-        while i + 1 < len(lines) and lines[i + 1].strip() and n < most_words and (_TRIGGER.search(lines[i + 1].lower()) or not re.search(r"[.!?]\s*$", lines[i])):
-            i += 1
-            taken.append(lines[i])
-            n += len(lines[i].split())
-        i += 1
-        block = " ".join(taken)
-        if n <= 2 * most_words:
-            out.append((first, block))
+    low = text.lower()
+    spans = [m.span() for m in _WORD.finditer(low)]
+    w = [low[a:b] for a, b in spans]
+    starts = np.cumsum([0] + [len(x) + 1 for x in w])
+    hits = np.searchsorted(starts, [m.start() for m in _TRIGGER.finditer(" ".join(w))], "right") - 1
+    ends = np.array([i for i, c in enumerate(low) if c == "\n"], np.int64)
+    out: list[list[int]] = []
+    for h in hits.tolist():
+        a, b = max(0, h - _longest()), min(len(w), h + _longest() + 1)
+        if out and a <= out[-1][1]:
+            out[-1][1] = b
         else:
-            part = block.split()
-            out += [(first, stretch) for a in range(0, n, most_words) if _TRIGGER.search((stretch := " ".join(part[a : a + 2 * most_words])).lower())]
-    return out
-
-
-def difference(template: list[str], block: list[str]) -> tuple[tuple[str, ...], tuple[str, ...]]:
-    """(words the block lacks, words it has in between) against the block's best-fitting stretch."""
-    runs = [m for m in SequenceMatcher(None, block, template, autojunk=False).get_matching_blocks() if m.size]
-    if not runs:
-        return tuple(template), ()
-    a, b = runs[0].a, runs[-1].a + runs[-1].size
-    missing, extra, at, to = [], [], a, 0
-    for m in runs:
-        extra += block[at : m.a]
-        missing += template[to : m.b]
-        at, to = m.a + m.size, m.b + m.size
-    return tuple(missing + template[to:]), tuple(extra)
-
-
-@functools.lru_cache(maxsize=1 << 14)
-def classify(block: str, ranked: int = 4, most: float = MAX_DIFFERENCE) -> tuple[tuple[str, float, tuple[str, ...], tuple[str, ...]], ...]:
-    """(license, saved, missing, extra) of each confirmed template; of templates with kindred wording the closest counts."""
-    w = words(block)
-    raw = " ".join(w).encode()
-    alone = max(1, len(_plain().compress(raw)))
-    order = sorted(((1 - len(c.compress(raw)) / alone, name, t) for name, t, _, c in _templates()), key=lambda x: (-x[0], x[1]))
+            out.append([a, b])
+    return [(a, w[a:b], np.searchsorted(ends, [x for x, _ in spans[a:b]]).tolist()) for a, b in out]
+
+
+def stretches(template: list[str], block: list[str], most: float) -> list[tuple[int, int]]:
+    """(start, end) of the block's stretches that differ from the template by ``most`` of its words at the most.
+
+    Words missing and words in between count one each, exactly (short templates may miss none); the best stretch comes
+    first, those that overlap a better one are left out.
+    """
+    n, m = len(block), len(template)
+    one, gap = 1 << 32, (1 << 32) * (m + n if m <= 8 else 1)
+    at = np.arange(n + 1, dtype=np.int64)
+    number = {x: i for i, x in enumerate(dict.fromkeys(template))}
+    ids = np.array([number.get(x, -1) for x in block], np.int64)
+    cost = n - at  # differences << 32 | words from the start of the stretch to the block's end: of equals the shortest
+    for x in template:
+        now = cost + gap
+        now[1:] = np.minimum(now[1:], np.where(ids == number[x], cost[:-1], now[1:]))
+        cost = np.minimum.accumulate(now - at * one) + at * one
+    found: list[tuple[int, int]] = []
+    good = np.flatnonzero(cost >> 32 <= most * m)
+    for b in good[np.lexsort((good, cost[good] >> 32))].tolist():
+        a = n - int(cost[b] & one - 1)
+        if all(b <= x or y <= a for x, y in found):
+            found.append((a, b))
+    return found
+
+
+def difference(template: list[str], stretch: list[str]) -> tuple[tuple[str, ...], tuple[str, ...]]:
+    """(words the stretch lacks, words it has in between), as few as possible."""
+    n, m = len(stretch), len(template)
+    common = [[0] * (m + 1) for _ in range(n + 1)]  # longest common subsequence of what follows
+    for i in range(n - 1, -1, -1):
+        for j in range(m - 1, -1, -1):
+            common[i][j] = common[i + 1][j + 1] + 1 if stretch[i] == template[j] else max(common[i + 1][j], common[i][j + 1])
+    missing, extra, i, j = [], [], 0, 0
+    while i < n or j < m:
+        if i < n and j < m and stretch[i] == template[j]:
+            i, j = i + 1, j + 1
+        elif j < m and (i == n or common[i][j + 1] >= common[i + 1][j]):
+            missing.append(template[j])
+            j += 1
+        else:
+            extra.append(stretch[i])
+            i += 1
+    return tuple(missing), tuple(extra)
+
+
+def classify(block: list[str], most: float = MAX_DIFFERENCE) -> list[tuple[str, float, tuple[str, ...], tuple[str, ...], int]]:
+    """(license, saved, missing, extra, start) of each confirmed stretch, in their order; of kindred templates on one stretch the closest counts.
+
+    The four templates that save most are confirmed.  A version number that
+    the stretch lacks makes it another license.
+    """
+    held = Counter(block)
+    able = [t for t in _templates() if sum(min(c, held[x]) for x, c in t[4]) >= (1 - most if len(t[1]) > 8 else 1) * len(t[1])]
+    raw = " ".join(block).encode() if able else b""
+    alone = max(1, len(_plain().compress(raw))) if able else 1
     found = []
-    for saved, name, template in order[:ranked]:
-        missing, extra = difference(template, w)
-        if len(missing) + len(extra) <= most * len(template) and not (missing and len(template) <= 8):
-            found.append((name, round(saved, 4), missing, extra))
-    wrong = lambda f: len(f[2]) + len(f[3])
-    drop = {f[0] for f in found for g in found if f is not g and (wrong(f) > wrong(g) and _kin(f[0], g[0]) or f[0] == g[0] + "-notice")}
-    return tuple(f for f in found if f[0] not in drop)
+    for saved, name, template in sorted(((1 - len(t[3].compress(raw)) / alone, t[0], t[1]) for t in able), key=lambda x: (-x[0], x[1]))[:4]:
+        for a, b in stretches(template, block, most):
+            missing, extra = difference(template, block[a:b]) if block[a:b] != template else ((), ())
+            if not any(_VERSION.fullmatch(x) for x in set(missing) - set(block[a:b])):
+                found.append((name, round(saved, 4), missing, extra, a, b, (len(missing) + len(extra)) / len(template)))
+    over = lambda f, g: f is not g and f[4] < g[5] and g[4] < f[5]
+    kept = [f for f in found if not any(over(f, g) and (f[6] > g[6] and _kin(f[0], g[0]) or f[0] == g[0] + "-notice") for g in found)]
+    return [f[:5] for f in sorted(kept, key=lambda f: f[4])]
 
 
 @functools.cache
@@ -139,11 +176,15 @@ def _kin(a: str, b: str) -> bool:
 
 
 def scan(text: str | None) -> list[Match]:
-    """Confirmed licenses of a text, in order of their blocks; stretches of one long line report a license once."""
+    """Confirmed licenses of a text, in the order they stand; of several on one line each license counts once."""
+    return matches(blocks(text or ""))
+
+
+def matches(parts: list[tuple[int, list[str], list[int]]]) -> list[Match]:
     found: dict[tuple[str, int], Match] = {}
-    for line, block in blocks(text or ""):
-        for name, saved, missing, extra in classify(block):
-            found.setdefault((name, line), Match(name, line, saved, missing, extra))
+    for _, block, lines in parts:
+        for name, saved, missing, extra, start in classify(block):
+            found.setdefault((name, lines[start]), Match(name, lines[start], saved, missing, extra))
     return list(found.values())
 
 
@@ -170,11 +211,12 @@ def licenses(docs: DataFrame) -> DataFrame:
         found, lines, counts = [[] for _ in range(n)], [[] for _ in range(n)], np.zeros((4, n), np.int32)
         for k in np.flatnonzero(np.diff(offs)).tolist():
             text = buf[offs[k] : offs[k + 1]].tobytes().decode("utf-8")
-            got, first = scan(text), {}
+            parts, first = blocks(text), {}
+            got = matches(parts)
             for m in got:
                 first.setdefault(m.license, m.line)
             found[k], lines[k] = sorted(first), [first[x] for x in sorted(first)]
-            counts[:, k] = len(blocks(text)), len(got), sum(len(m.missing) for m in got), sum(len(m.extra) for m in got)
+            counts[:, k] = len(parts), len(got), sum(len(m.missing) for m in got), sum(len(m.extra) for m in got)
         b, m, x, y = (pa.array(c) for c in counts)
         return pa.record_batch([piece.column(0), b, m, pa.array(found, pa.list_(pa.string())), pa.array(lines, pa.list_(pa.int32())), x, y], ["doc_id", "n_blocks", "n_matches", "licenses", "first_lines", "n_missing", "n_extra"])
 
