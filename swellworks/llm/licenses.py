@@ -1,7 +1,7 @@
 """License scans by conditional compression.
 
 A candidate block (words around licensing words, over line and sentence ends) is compressed with zstandard alone and
-with each template as raw dictionary; templates are ranked by how much they save.  The best ones are confirmed by exact wording
+with each template as raw dictionary; templates are ranked by how much they save.  All are confirmed by exact wording
 differences: the words that a stretch of the block lacks or has beyond a template's wording.
 """
 
@@ -150,7 +150,7 @@ def difference(template: list[str], stretch: list[str]) -> tuple[tuple[str, ...]
 def classify(block: list[str], most: float = MAX_DIFFERENCE) -> list[tuple[str, float, tuple[str, ...], tuple[str, ...], int]]:
     """(license, saved, missing, extra, start) of each confirmed stretch, in their order; of kindred templates on one stretch the closest counts.
 
-    The four templates that save most are confirmed.  A version number that
+    Every template that has enough words in the block is confirmed, in order of what it saves.  A version number that
     the stretch lacks makes it another license.
     """
     held = Counter(block)
@@ -158,7 +158,7 @@ def classify(block: list[str], most: float = MAX_DIFFERENCE) -> list[tuple[str,
     raw = " ".join(block).encode() if able else b""
     alone = max(1, len(_plain().compress(raw))) if able else 1
     found = []
-    for saved, name, template in sorted(((1 - len(t[3].compress(raw)) / alone, t[0], t[1]) for t in able), key=lambda x: (-x[0], x[1]))[:4]:
+    for saved, name, template in sorted(((1 - len(t[3].compress(raw)) / alone, t[0], t[1]) for t in able), key=lambda x: (-x[0], x[1])):
         for a, b in stretches(template, block, most):
             missing, extra = difference(template, block[a:b]) if block[a:b] != template else ((), ())
             if not any(_VERSION.fullmatch(x) for x in set(missing) - set(block[a:b])):

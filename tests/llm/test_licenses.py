@@ -117,3 +117,12 @@ def test_published_layouts_and_comment_signs():
             assert [m.license for m in lic.scan(f"An intro.\n\n{body}\n\nFiller ends here.\n" * 2)] == [name] * 2, (name, sign)
     first = PUBLISHED["GPL-3.0-or-later"].split("\n\n")[0]
     assert lic.scan(first) == [] and [m.license for m in lic.scan(first.replace("version 3", "version 2"))] == ["GPL-2.0-or-later"]
+
+
+def test_all_notices_of_a_block_are_confirmed():
+    short = [n for n, t in lic.TEMPLATES.items() if len(lic.words(t)) <= 12]
+    assert len(short) > 5
+    for sep in ("\n", " ", "\n\n"):
+        assert [m.license for m in lic.scan(sep.join(lic.TEMPLATES[n] for n in short))] == short
+    assert [m.license for m in lic.scan("\n".join(lic.TEMPLATES.values()))] == list(lic.TEMPLATES)
+    assert [m.license for m in lic.scan("\n\n".join(PUBLISHED.values()))] == list(PUBLISHED)
