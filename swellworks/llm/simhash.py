@@ -122,84 +122,133 @@ def near_duplicates(docs: DataFrame, k: int, radius: int, ws: Workspace | None =
     return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-SKETCH, OVERLAP = 16, 4  # segments a document files under, and how many of them two similar documents share
-CUT = 8  # a segment begins at about every 8th word
-FAR = 24  # bits beyond which two documents aren't compared
+SEEN, OFTEN, MOST_KEPT = 16, 4, 100_000  # share of documents, count and number of shingles in the table of frequent ones
+PARITY = 8  # longs of parity bits
 
 
-def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, words0, words1, n, fp, tokens array<long>): identity of the word sequence, number of shingles, fingerprint, segments.
+def frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles in rising order, level of each): those met OFTEN times or more in one of SEEN documents.
 
-    Segments begin at words whose hash is 0 modulo CUT, wherever they stand, so an edit changes the segments around it
-    and no other.  A segment's token is the SimHash of its shingles; a document has the SKETCH tokens least by hash.
+    The table only orders shingles.  Any order finds the same pairs; this one keeps common passages from deciding.
     """
+    sample = docs.where(f"pmod(xxhash64(doc_id), {SEEN}) = 0").select("doc_id", "text")
+
+    def work(piece: pa.RecordBatch) -> pa.RecordBatch:
+        h, first = shingle_hashes(*utf8(piece.column(1)), k)
+        h, _ = distinct(h, first)
+        return pa.record_batch([pa.array(h.view(np.int64))], ["h"])
+
+    counts = map_slices(sample, "text", work, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= OFTEN)
+    got = counts.orderBy(F.desc("n"), "h").limit(MOST_KEPT).collect()
+    h, n = np.array([r.h for r in got], np.int64).view(np.uint64), np.array([r.n for r in got], np.int64)
+    order = np.argsort(h)
+    return h[order], np.log2(np.maximum(n[order], 1)).astype(np.int8)
+
+
+def distinct(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, owner): each document's different shingles in rising order."""
+    owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    order = np.lexsort((h, owner))
+    h, owner = h[order], owner[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    return h[new], owner[new]
+
+
+def sketches(docs: DataFrame, k: int, least: float) -> DataFrame:
+    """(doc_id, words0, words1, n, g0.., tokens array<long>): identity of the word sequence, number of different shingles, parity bits, prefix.
+
+    Shingles have one order for the whole table (frequent ones last).  Two documents of similarity ``least`` share
+    least * n shingles of either, so the first of those stands among the first n - ceil(least * n) + 1 of both: the prefix.
+    A shingle toggles one of 64 * PARITY bits, so two documents differ in at least as many shingles as in bits.
+    """
+    often, level = frequent(docs, k)
 
     def work(piece: pa.RecordBatch) -> pa.RecordBatch:
         buf, offs = utf8(piece.column(1))
         h, first = shingle_hashes(buf, offs, k)
-        w = Words(LOWER[buf], offs)
-        wh, n = w.hashes(), np.diff(first)
-        at = ragged(w.first[:-1], n)  # the word at which each shingle starts
-        cut = wh[at] % np.uint64(CUT) == 0 if len(at) else np.empty(0, bool)
-        cut[first[:-1][n > 0]] = True
-        head = np.append(np.flatnonzero(cut), len(h))
-        token = mix(majority_bits(h, head))
-        owner = np.searchsorted(first, head[:-1], "right") - 1
-        order = np.lexsort((token, owner))
-        token, owner = token[order], owner[order]
-        same = np.zeros(len(token), bool)
-        same[1:] = (token[1:] == token[:-1]) & (owner[1:] == owner[:-1])
-        token, owner = token[~same], owner[~same]
-        bounds = np.searchsorted(owner, np.arange(piece.num_rows + 1))
-        low = np.arange(len(token)) - bounds[owner] < SKETCH
-        kept = np.concatenate([[0], np.cumsum(low)])[bounds]
+        h, owner = distinct(h, first)
+        n = np.bincount(owner, minlength=piece.num_rows)
+        parity = np.zeros(piece.num_rows * PARITY, np.uint64)
+        bit = mix(h) % np.uint64(64 * PARITY)
+        np.bitwise_xor.at(parity, owner * PARITY + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+        if len(often) and len(h):
+            at = np.minimum(np.searchsorted(often, h), len(often) - 1)
+            h = h[np.lexsort((h, np.where(often[at] == h, level[at] + 1, 0), owner))]
+        bounds = np.concatenate([[0], np.cumsum(n)])
+        size = np.where(n > 0, n - np.ceil(least * n - 1e-9).astype(np.int64) + 1, 0)
+        w = Words(buf, offs)
         text = [joined(buf, w.start[a:b], w.end[a:b]) for a, b in zip(w.first[:-1], w.first[1:])]
         wide = np.frombuffer(b"".join(xxhash.xxh3_128_digest(bytes(LOWER[np.frombuffer(t, np.uint8)])) for t in text), np.int64).reshape(-1, 2)
-        tokens = pa.ListArray.from_arrays(pa.array(kept.astype(np.int32)), pa.array(token[low].view(np.int64)))
-        return pa.record_batch([piece.column(0), pa.array(wide[:, 0]), pa.array(wide[:, 1]), pa.array(n), pa.array(majority_bits(h, first).view(np.int64)), tokens], ["doc_id", "words0", "words1", "n", "fp", "tokens"])
+        tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(h[ragged(bounds[:-1], size)].view(np.int64)))
+        g = parity.view(np.int64).reshape(-1, PARITY)
+        return pa.record_batch([piece.column(0), pa.array(wide[:, 0]), pa.array(wide[:, 1]), pa.array(n), *(pa.array(g[:, i].copy()) for i in range(PARITY)), tokens], ["doc_id", "words0", "words1", "n", *BITS, "tokens"])
+
+    return map_slices(docs.select("doc_id", "text"), "text", work, f"doc_id long, words0 long, words1 long, n long, {', '.join(f'{b} long' for b in BITS)}, tokens array<long>")
+
+
+BITS = [f"g{i}" for i in range(PARITY)]
 
-    return map_slices(docs.select("doc_id", "text"), "text", work, "doc_id long, words0 long, words1 long, n long, fp long, tokens array<long>")
 
+def possible(least: float) -> str:
+    """Condition on x and y: sizes and parity bits don't rule the similarity out."""
+    apart = " + ".join(f"bit_count(x.{b} ^ y.{b})" for b in BITS)
+    return f"least(x.n, y.n) >= {least} * greatest(x.n, y.n) - 1e-9 AND {apart} <= {(1 - least) / (1 + least)!r} * (x.n + y.n) + 1e-6"
 
-def candidate_pairs(reps: DataFrame, ws: Workspace, small: int = 64) -> DataFrame:
-    """(a, b), a < b: documents to compare.  ``reps`` has doc_id, n, fp, tokens of documents with different words.
 
-    Documents file under their rarest tokens: two that share OVERLAP of SKETCH tokens also share one of the rarest
-    SKETCH - OVERLAP + 1 (in proportion for shorter sketches), so frequent passages don't decide.  Up to ``small``
-    documents under a token are all paired.  More form no group: each meets the smallest of them and its neighbours in
-    order of the fingerprint.  Sizes that rule the similarity out and fingerprints over FAR bits apart are left out.
+def met(reps: DataFrame, least: float, small: int) -> DataFrame:
+    """(a, b, token, n, pos): pairs a, b of up to ``small`` documents under a token; of more, each document a with its token.
+
+    A pair counts where sizes and what is left of both from the token on allow the similarity; at the first shingle that
+    two documents share all they share is left, so no pair is lost.
     """
-    filed = reps.select("doc_id", F.explode("tokens").alias("token"))
-    counts = ws.table(filed.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "df")
-    ranked = filed.join(counts, "token", "left").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "token"))).alias("r"))
-    prefix = F.slice("r", 1, F.size("r") - F.ceil(F.size("r") * OVERLAP / SKETCH).cast("int") + 1)
-    rare = ranked.select("doc_id", F.explode(F.filter(prefix, lambda x: x.df > 1)).alias("x")).select("doc_id", "x.token", "x.df")
-    rows = ws.table(rare.join(reps.select("doc_id", "n", "fp"), "doc_id"), "filed")
-    similar = "least(x.n, y.n) >= 0.8 * greatest(x.n, y.n) AND bit_count(x.fp ^ y.fp) <= " + str(FAR)
-    member = F.struct("doc_id", "n", "fp")
-    pairs = f"flatten(transform(g, x -> transform(filter(g, y -> y.doc_id > x.doc_id AND {similar}), y -> struct(x.doc_id AS a, y.doc_id AS b))))"
-    few = rows.where(F.col("df") <= small).groupBy("token").agg(F.collect_list(member).alias("g")).select(F.explode(F.expr(pairs)).alias("p")).select("p.a", "p.b")
-    many = rows.where(F.col("df") > small)
-    hubs = ws.table(many.groupBy("token").agg(F.min(member).alias("x")), "hubs")
-    star = many.join(hubs, "token").select("x", F.struct("doc_id", "n", "fp").alias("y")).where("y.doc_id > x.doc_id AND " + similar).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
-
-    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: list[tuple] = []
+    filed = reps.select("doc_id", "n", F.posexplode("tokens").alias("pos", "token"))
+    rows = filed.select("token", "doc_id", (F.col("n") * (1 << 32) + F.col("pos")).alias("at")).repartition("token").sortWithinPartitions("token")
+
+    def settle_groups(token: np.ndarray, doc: np.ndarray, at: np.ndarray, large: int | None) -> Iterator[pa.RecordBatch]:
+        head = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        size = np.diff(np.append(head, len(token)))
+        group = np.repeat(np.arange(len(head)), size)
+        big = size > small
+        if large is not None:
+            big |= token[head] == large
+        n, pos = at >> 32, at & (1 << 32) - 1
+        rest = np.flatnonzero(big[group])
+        if len(rest):
+            none = pa.nulls(len(rest), pa.int64())
+            yield pa.record_batch([pa.array(doc[rest]), none, pa.array(token[rest]), pa.array(n[rest]), pa.array(pos[rest])], ["a", "b", "token", "n", "pos"])
+        i, d = np.flatnonzero((~big & (size > 1))[group]), 1
+        while len(i):
+            i = i[i + d < len(token)]
+            i = i[group[i] == group[i + d]]
+            j = i + d
+            need = least / (1 + least) * (n[i] + n[j]) - 1e-6
+            good = (doc[i] != doc[j]) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need) & (np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]) - 1e-9)
+            x, y = doc[i[good]], doc[j[good]]
+            if len(x):
+                none = pa.nulls(len(x), pa.int64())
+                yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), none, none, none], ["a", "b", "token", "n", "pos"])
+            d += 1
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.empty(0, np.int64)] * 3
+        large: int | None = None  # the token of a large group that began in an earlier batch
         for batch in batches:
-            out = []
-            for token, _, fp, doc, n in zip(*(c.to_pylist() for c in batch.columns)):
-                out += [(min(doc, d), max(doc, d)) for t, d, m, f in last if t == token and d != doc and min(n, m) >= 0.8 * max(n, m) and ((fp ^ f) & (1 << 64) - 1).bit_count() <= FAR]
-                last = [*last[-2:], (token, doc, n, fp)]
-            if out:
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
-
-    # each token orders its documents by one of four turns of the fingerprint; documents that share several tokens
-    # meet in several orders, also where they differ in the first bits of one
-    turned = F.expr("shiftleft(fp, CAST(pmod(token, 4) * 16 AS INT)) | shiftrightunsigned(fp, CAST(64 - pmod(token, 4) * 16 AS INT))").alias("turned")
-    order = ["token", "turned", "doc_id"]
-    spread = max(1, -(-many.count() // 25_000))
-    near = many.select("token", turned, "fp", "doc_id", "n").repartitionByRange(spread, *order).sortWithinPartitions(*order).mapInArrow(neighbours, "a long, b long")
-    return few.union(star).union(near).distinct()
+            if not batch.num_rows:
+                continue
+            held = [np.concatenate([o, c.to_numpy()]) for o, c in zip(held, batch.columns)]
+            last = held[0][-1]
+            cut = int(np.searchsorted(held[0], last))  # the last group may go on in the next batch
+            if len(held[0]) - cut > small or last == large:
+                yield from settle_groups(*held, large)
+                held, large = [h[:0] for h in held], int(last)
+            elif cut:
+                yield from settle_groups(*(h[:cut] for h in held), large)
+                held, large = [h[cut:].copy() for h in held], None
+        if len(held[0]):
+            yield from settle_groups(*held, large)
+
+    return rows.mapInArrow(work, "a long, b long, token long, n long, pos long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, least: float) -> DataFrame:
@@ -219,21 +268,51 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, least: float) -> DataFra
     return map_slices(both, "x", work, "a long, b long")
 
 
-def similar_groups(docs: DataFrame, k: int = 5, least: float = 0.8, ws: Workspace | None = None) -> DataFrame:
+def similar_edges(reps: DataFrame, docs: DataFrame, k: int, least: float, small: int, ws: Workspace) -> DataFrame:
+    """(a, b): similar documents, enough of them to connect all similar pairs.  ``reps`` has doc_id, n, g0.., tokens.
+
+    Up to ``small`` documents under a token are all paired.  In a larger group each document meets one of them first,
+    that with most such tokens; then every document that isn't connected with that one meets all others it isn't connected with.
+    """
+    under = ws.table(met(reps, least, small), "met")
+    bits = reps.select("doc_id", "n", *BITS)
+    side = lambda x: F.struct("doc_id", "n", *BITS).alias(x)
+    pairs = under.where("b IS NOT NULL").select("a", "b").distinct()
+    few = (
+        pairs.join(bits.select(F.col("doc_id").alias("a"), side("x")), "a").join(bits.select(F.col("doc_id").alias("b"), side("y")), "b")
+        .where(possible(least)).select("a", "b")
+    )
+    rows = under.where("token IS NOT NULL").select("token", "pos", F.col("a").alias("doc_id"))
+    many = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("tokens"))
+    large = ws.table(rows.join(bits.join(many, "doc_id"), "doc_id"), "large")
+    hubs = ws.table(large.groupBy("token").agg(F.min_by(side("x"), F.struct(-F.col("tokens"), "doc_id")).alias("x")), "hubs")
+    ends = [F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")]
+    star = large.select("token", side("y")).join(hubs, "token").where("x.doc_id <> y.doc_id AND " + possible(least)).select(*ends)
+    near = ws.table(verified(ws.table(few.union(star).distinct(), "pairs"), docs, k, least), "near")
+    ws.drop("met", "pairs")
+    labels = components(near, ws, "first")
+    member = large.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    member = ws.table(member.select("token", F.struct("doc_id", "n", "pos", "label", *BITS).alias("y")), "members")
+    of_hub = member.join(hubs, "token").where("y.doc_id = x.doc_id").groupBy("token").agg(F.min("y.label").alias("main"))
+    apart = member.join(of_hub, "token").where("y.label <> main").select("token", F.col("y").alias("x"))
+    left = f"least(x.n - x.pos, y.n - y.pos) >= {least / (1 + least)!r} * (x.n + y.n) - 1e-6"
+    rest = apart.join(member, "token").where(f"x.label <> y.label AND {left} AND {possible(least)}").select(*ends).distinct()
+    return near.union(ws.table(verified(ws.table(rest, "rest"), docs, k, least), "far"))
+
+
+def similar_groups(docs: DataFrame, k: int = 5, least: float = 0.8, ws: Workspace | None = None, small: int = 64) -> DataFrame:
     """(doc_id, group_id): the smallest doc_id reachable over pairs of documents with a shingle similarity of at least ``least``.
 
-    Documents with the same words form a class first; one of them is compared.  SimHash makes the candidates (equal segment
-    fingerprints; the covering tables link whole fingerprints at up to two bits), exact shingle sets decide.
+    Documents with the same words form a class first; one of them is compared.  Prefixes of the shingle sets make the
+    candidates, without exception; exact shingle sets decide.  ``small`` changes the work, not the groups.
     Rows without a doc_id are left out; repeated rows count once; an empty table gives an empty result.
     """
     ws = ws or Workspace(docs.sparkSession, "similar")
     texts = docs.where("doc_id IS NOT NULL")
-    every = ws.table(sketches(texts, k), "sketches")
-    classes = ws.table(every.groupBy("words0", "words1").agg(F.min(F.struct("doc_id", "n", "fp", "tokens")).alias("r")).select("words0", "words1", "r.*"), "classes")
-    prints = ws.table(classes.groupBy("fp").agg(F.min("doc_id").alias("rep")), "fps")
-    pairs = candidate_pairs(classes, ws).union(links(prints, 2, ws)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    edges = ws.table(verified(ws.table(pairs, "pairs"), texts, k, least), "edges")
+    every = ws.table(sketches(texts, k, least), "sketches")
+    classes = ws.table(every.groupBy("words0", "words1").agg(F.min(F.struct("doc_id", "n", *BITS, "tokens")).alias("r")).select("words0", "words1", "r.*"), "classes")
+    edges = ws.table(similar_edges(classes, texts, k, least, small, ws), "edges")
     ws.reclaim()
     labels = components(edges, ws)
     known = ws.table(classes.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("words0", "words1", F.coalesce("label", "doc_id").alias("group_id")), "known")
-    return every.join(known, ["words0", "words1"]).groupBy("doc_id").agg(F.min("group_id").alias("group_id"))
+    return every.select("doc_id", "words0", "words1").join(known, ["words0", "words1"]).groupBy("doc_id").agg(F.min("group_id").alias("group_id"))

@@ -93,3 +93,22 @@ def test_odd_rows(odd, empty):
     got = rows(simhash.near_duplicates(odd, 3, 2), "doc_id", "component_id")
     assert len(got) == odd.count() and (None, None) in got and (3, 2) in got and (4, 2) in got and got.count((1, 1)) == 2
     assert simhash.near_duplicates(empty, 3, 2).count() == simhash.similar_groups(empty).count() == 0
+
+
+def brute(docs, least=0.8):
+    sets = {r.doc_id: frozenset(shingles(r.text, 5)) for r in docs.collect()}
+    return reach(sets, lambda a, b: sets[a] == sets[b] or len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]))
+
+
+def groups(docs, **more):
+    return {r.doc_id: r.group_id for r in simhash.similar_groups(docs, **more).collect()}
+
+
+def test_repeats_of_a_line_do_not_part_documents(spark):
+    random.seed(5)
+    made = []
+    for d in range(20):
+        own, line = ([f"w{random.randrange(10**6)}" for _ in range(n)] for n in (100, 8))
+        made += [(2 * d, " ".join(own + line * 30)), (2 * d + 1, " ".join(own + line * 10))]
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    assert groups(docs) == brute(docs) == {i: i - i % 2 for i in range(40)}
