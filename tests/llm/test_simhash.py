@@ -112,3 +112,14 @@ def test_repeats_of_a_line_do_not_part_documents(spark):
         made += [(2 * d, " ".join(own + line * 30)), (2 * d + 1, " ".join(own + line * 10))]
     docs = spark.createDataFrame(made, "doc_id long, text string")
     assert groups(docs) == brute(docs) == {i: i - i % 2 for i in range(40)}
+
+
+def test_short_documents_with_one_changed_word(spark):
+    random.seed(6)
+    made = []
+    for d in range(400):
+        x = [f"w{random.randrange(10**6)}" for _ in range(random.randint(13, 30))]
+        made += [(2 * d, " ".join(x)), (2 * d + 1, " ".join([*x[:-1], "changed"] if d % 2 else ["changed", *x[1:]]))]
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    want = brute(docs)
+    assert groups(docs) == want and want == {i: i - i % 2 for i in range(800)}
