@@ -123,3 +123,20 @@ def test_short_documents_with_one_changed_word(spark):
     docs = spark.createDataFrame(made, "doc_id long, text string")
     want = brute(docs)
     assert groups(docs) == want and want == {i: i - i % 2 for i in range(800)}
+
+
+def test_large_groups_lose_no_pair(spark):
+    """Copies resemble their original only, and it isn't the smallest doc_id; another family is a chain."""
+    random.seed(7)
+    original, made = [f"w{random.randrange(10**6)}" for _ in range(200)], []
+    for i in range(90):
+        x = original[:]
+        for at in random.sample(range(8, 190), 3):
+            x[at] = f"e{i}x{at}"
+        made.append((i if i < 40 else i + 1, " ".join(x)))
+    made.append((40, " ".join(original)))
+    chain = [f"c{i}" for i in range(400)]
+    made += [(1000 + (i * 37) % 100, " ".join(chain[2 * i : 2 * i + 200])) for i in range(100)]
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    want = brute(docs)
+    assert set(want.values()) == {0, 1000} and groups(docs, small=4) == groups(docs, small=64) == want
