@@ -8,6 +8,7 @@ from __future__ import annotations
 import functools
 
 import numpy as np
+import xxhash
 
 from swellworks.llm.runtime import ragged
 
@@ -37,16 +38,37 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(32))
 
 
-def piece_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hash, first eight bytes as a number) of each piece buf[start:end]."""
-    n = len(buf)
-    up, down = _powers(1 << max(20, int(n).bit_length()))
-    sums = np.zeros(n + 1, _U)
-    np.cumsum((buf.astype(_U) + _U(1)) * up[:n], out=sums[1:])
-    h = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(_U))
-    eight = np.lib.stride_tricks.as_strided(np.concatenate([buf, np.zeros(8, np.uint8)]), (n + 1, 8), (1, 1))[start].copy().view("<u8").ravel()
-    short = np.minimum(end - start, 8).astype(_U) * _U(8)
-    return h, np.where(short == 64, eight, eight & ((_U(1) << (short & _U(63))) - _U(1)))
+def lanes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first eight bytes, last eight bytes) of the pieces buf[start:end] as numbers.
+
+    Pieces of up to eight bytes have all of them in the first and 0 in the last.  With the length the two make up a
+    piece of up to LANES bytes exactly.
+    """
+    wide = np.concatenate([buf, np.zeros(8, np.uint8)])
+    at = np.ndarray((len(buf) + 1,), "<u8", wide, 0, (1,))
+    size = end - start
+    short = np.minimum(size, 8).astype(_U) * _U(8)
+    first = at[start]
+    return np.where(short == 64, first, first & ((_U(1) << (short & _U(63))) - _U(1))), np.where(size > 8, at[np.maximum(end - 8, 0)], _U(0))
+
+
+LANES = 16
+
+
+def piece_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each piece buf[start:end]; no two pieces of up to eight bytes without zeros share one.
+
+    Pieces of up to LANES bytes mix their two numbers; longer ones, which are few, take XXH3: a polynomial modulo
+    2^64 would be equal for some long pieces of regular build, whatever its base.
+    """
+    first, last = lanes(buf, start, end)
+    size = end - start
+    h = mix(first ^ mix(last + size.astype(_U) * _U(_BASE)))
+    long = np.flatnonzero(size > LANES)
+    if len(long):
+        data, of = memoryview(np.ascontiguousarray(buf)), xxhash.xxh3_64_intdigest
+        h[long] = np.fromiter((of(data[a:b]) for a, b in zip(start[long].tolist(), end[long].tolist())), _U, len(long))
+    return h
 
 
 class Words:
@@ -72,14 +94,7 @@ class Words:
 
     def hashes(self, lower: bool = False) -> np.ndarray:
         """A 64-bit hash of each word's bytes, the same wherever the word stands."""
-        n = len(self.buf)
-        if not len(self.start):
-            return np.empty(0, _U)
-        up, down = _powers(1 << max(20, int(n).bit_length()))
-        data = (LOWER[self.buf] if lower else self.buf).astype(_U)
-        sums = np.zeros(n + 1, _U)
-        np.cumsum((data + _U(1)) * up[:n], out=sums[1:])
-        return mix((sums[self.end] - sums[self.start]) * down[self.start] + (self.end - self.start).astype(_U))
+        return piece_hashes(LOWER[self.buf] if lower else self.buf, self.start, self.end)
 
     def windows(self, h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(hash of k words from each word on, documents' first rows): windows that cross documents are left out."""

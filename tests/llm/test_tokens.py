@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 from swellworks.llm import bpe, token_files
 
 WORDS, RANKS = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-ALPHABET = ["'", "s", "t", "re", "ll", "A", "É", "é", " ", "́", "  ", "\n", "\t", "1", "２", "!", "?", " ", "　", "漢", "😀", "\r\n", "\x1c", "\x85", "_", "​", "J", "̌", "İ", "<|endoftext|>", ",", "a.b"]
+ALPHABET = ["'", "s", "t", "re", "ll", "A", "É", "é", " ", "́", "  ", "\n", "\t", "1", "２", "!", "?", " ", "　", "漢", "😀", "\r\n", "\x1c", "\x85", "_", "​", "J", "̌", "İ", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", ",", "a.b"]
 
 
 def texts(n, seed=2):
@@ -33,9 +33,12 @@ def encoding():
 
 
 def library():
-    t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(WORDS)
+
+
+def regular(n, a="a", b="b"):
+    """Words whose polynomials modulo 2^64 are those of their mirror image, whatever the odd base."""
+    return "".join(b if bin(i).count("1") & 1 else a for i in range(n))
 
 
 def test_bpe_equals_library():
@@ -52,12 +55,34 @@ def test_word_chunks_equal_library():
     assert [ids[a:b].tolist() for a, b in zip(first, first[1:])] == [lib.encode(s, add_special_tokens=False).ids for s in strings]
 
 
-def test_full_cache_changes_nothing():
+def test_unequal_words_of_equal_polynomials():
+    strings = [x + regular(n, *ab) for n in (512, 1024, 2048) for ab in ("ab", "ba") for x in ("", "abcdefgh")] + ["é" * k + "x" for k in range(40)] + ["a\0", "a", "a\0\0"]
+    enc, own, lib, words_ = encoding(), bpe.Ranks(bpe.read_vocabulary(RANKS)), library(), token_files.WordTokenizer(open(WORDS, "rb").read())
+    for _ in range(2):
+        ids, first, _ = own.encode(*flat(strings))
+        assert [ids[a:b].tolist() for a, b in zip(first, first[1:])] == [enc.encode_ordinary(s) for s in strings]
+        ids, first = words_.encode(*flat(strings))
+        assert [ids[a:b].tolist() for a, b in zip(first, first[1:])] == [lib.encode(s, add_special_tokens=False).ids for s in strings]
+
+
+def test_equal_hashes_are_not_equal_pieces(monkeypatch):
+    from swellworks.llm import piece_cache
+
+    monkeypatch.setattr(piece_cache, "mix", lambda h: h * np.uint64(0) + np.uint64(5))
+    own, strings = bpe.Ranks(bpe.read_vocabulary(RANKS)), texts(60)
+    ids, first, _ = own.encode(*flat(strings))
+    assert [ids[a:b].tolist() for a, b in zip(first, first[1:])] == [encoding().encode_ordinary(s) for s in strings]
+
+
+def test_full_cache_changes_nothing(monkeypatch):
     own, strings = bpe.Ranks(bpe.read_vocabulary(RANKS)), texts(400)
     want = own.encode(*flat(strings))[0]
     own.cache.bits = 6
     own.cache.clear()
     assert (own.encode(*flat(strings))[0] == want).all()
+    monkeypatch.setattr("swellworks.llm.piece_cache.LONG_BYTES", 100)
+    for a in range(0, 400, 50):
+        assert (own.encode(*flat(strings[a : a + 50]))[0] == bpe.Ranks.encode(bpe.Ranks(bpe.read_vocabulary(RANKS)), *flat(strings[a : a + 50]))[0]).all()
 
 
 def test_packing():
