@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -109,13 +110,21 @@ class WordTokenizer:
     The file's normaliser folds white space and lower-cases, and its splitter never crosses white space or the border
     of a letter or digit and a sign, so a text's ids are those of its chunks in order.  Only ASCII borders cut
     (white space; a letter or digit beside a sign other than the apostrophe); the rest is the library's.
+
+    The file's added tokens (``<|endoftext|>``) are taken out of the raw text first and have ids of their own, as in
+    the library's plain call; what stands around them is ordinary text.
     """
 
     def __init__(self, data: bytes):
         from tokenizers import Tokenizer
 
+        added = json.loads(data)["added_tokens"]
+        if any(t[flag] for t in added for flag in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("added tokens must be plain strings")
+        self.added = {t["content"].encode(): t["id"] for t in added}
+        self.any_added = re.compile(b"|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) or b"(?!)")
         self.library = Tokenizer.from_str(data.decode("utf-8"))
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.library.encode_special_tokens = True  # in chunks their strings, in other cases say, are ordinary text
         self.cache = PieceCache(self._library_ids, bits=21)
 
     def _library_ids(self, chunks: list[bytes], together: int = 200) -> tuple[np.ndarray, np.ndarray]:
@@ -130,18 +139,39 @@ class WordTokenizer:
             counts.append(np.bincount(owner, minlength=len(texts)))
         return np.concatenate(ids), np.concatenate(counts)
 
+    def _found(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(start, end, id) of the added tokens in the raw texts."""
+        data, found = buf.tobytes(), []
+        if self.any_added.search(data):
+            for a, b in zip(offs[:-1].tolist(), offs[1:].tolist()):
+                found += [(*m.span(), self.added[m.group()]) for m in self.any_added.finditer(data, a, b)]
+        return tuple(np.array(found, np.int64).reshape(-1, 3).T)
+
     def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, first id of each text and the end)."""
         if not len(buf):
             return np.empty(0, np.int32), np.zeros(len(offs), np.int64)
+        from_, to, added = self._found(buf, offs)
         ascii_next = np.append(buf[1:] < 0x80, True)
         buf = np.where(ascii_next, LOWER[buf], buf)  # a letter before a combining mark is the library's to lower
         w, kind = Words(buf, offs), KIND[buf]
         inner = np.flatnonzero(kind[1:] * kind[:-1] == 2) + 1  # a word byte beside a sign
         inner = inner[~np.isin(inner, offs)]
-        start = np.sort(np.concatenate([w.start, inner]))
-        end = np.sort(np.concatenate([w.end, inner]))
-        ids, n = self.cache.ids(buf, start, end)
+        if len(added):
+            inner = inner[np.searchsorted(from_, inner, "left") <= np.searchsorted(to, inner, "right")]  # none within an added token
+            inner = np.unique(np.concatenate([inner, from_, to]))
+        start = np.union1d(w.start, inner[~np.isin(inner, w.end)])
+        end = np.union1d(w.end, inner[~np.isin(inner, w.start)])
+        if not len(added):
+            ids, n = self.cache.ids(buf, start, end)
+        else:
+            own = np.isin(start, from_)
+            some, count = self.cache.ids(buf, start[~own], end[~own])
+            n = np.ones(len(start), np.int64)
+            n[~own] = count
+            at = np.cumsum(n) - n
+            ids = np.empty(int(n.sum()), np.int32)
+            ids[ragged(at[~own], count)], ids[at[own]] = some, added
         return ids, np.concatenate([[0], np.cumsum(n)])[np.searchsorted(start, offs)]
 
 
