@@ -10,6 +10,9 @@ suffix array is sparse (anchors only) and falls into one part for each anchor va
   (occurrences that share r bytes and no more).  Within an interval the occurrences are ordered by the text before the anchor, read
   backwards: where neighbours share l bytes with l + gram + r >= length they form a repeat, left-diverse at l, and each
   occurrence takes the longest left extension it has with any other.
+* What stands twice within one piece of work (about 1 MB of text) is known to repeat there: all its rows are settled on the
+  spot and one of them, the first, stands for the piece in counts and joins.  So no key has more rows in an exchange than there
+  are pieces, however common a passage is.
 * An anchor with more different segments than ``group`` never becomes one task's work.  Its segments are cut into blocks of window
   positions; a block whose common core stands once is settled (no repeat), one that stands twice as a whole as well, and the
   windows of the others are counted one by one.  All of this is partial counts and joins.
@@ -33,13 +36,17 @@ GROUP, STEP = 256, 25
 PIECE = 4 << 20  # bytes of a long text hashed at once
 _U = np.uint64
 _PLACE = _U(24)
+_MARK = 16  # bytes of the anchor's digest in front of the text behind it: equal anchor hashes need not be equal anchors
+# What a piece knows of a row: it is the first of its kind there, or one of several.
+FIRST, TWICE, LEAD, SEVERAL = 1, 2, 4, 8
 NO_ID = -(1 << 63)  # stands for a null doc_id
 
 
 def anchor_runs(buf: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
     """(document, anchor hash, anchor place, first window, windows, segment hash) of every run of windows with one anchor.
 
-    Places count bytes of the document.  Long texts go in pieces that overlap by length - 1 bytes.
+    Places count bytes of the document.  Long texts go in pieces that overlap by length - 1 bytes.  A segment's hash
+    is XXH3 of its text and of where its anchor stands.
     """
     if len(buf) > PIECE + length and len(offs) == 2:
         parts = [_runs(buf[a : a + PIECE + length - 1], np.array([0, min(PIECE + length - 1, len(buf) - a)]), length, gram, a) for a in range(0, len(buf) - length + 1, PIECE)]
@@ -67,10 +74,27 @@ def _runs(buf: np.ndarray, offs: np.ndarray, length: int, gram: int, base: int)
     count = np.diff(np.append(head, len(at)))
     doc = np.searchsorted(rows, head, "right") - 1
     first, where = at[head], place[head]
-    seg = mix(mix((sums[first + count + length - 1] - sums[first]) * down[first]) + count.astype(_U) * _U(0x9E3779B97F4A7C15) + (where - first).astype(_U))
+    text, of = memoryview(np.ascontiguousarray(buf)), xxhash.xxh3_64_intdigest
+    ends = first + count + length - 1
+    seg = np.fromiter((of(text[a:b], s) for a, b, s in zip(first.tolist(), ends.tolist(), (where - first).tolist())), _U, len(first))
     return doc, g[where], where - offs[doc] + base, first - offs[doc] + base, count, seg
 
 
+def marks(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether a row is the first with its keys, whether it is one of several)."""
+    order = np.lexsort(keys[::-1])
+    new = np.ones(len(order), bool)
+    for k in keys:
+        v = k[order]
+        new[1:] &= v[1:] == v[:-1]
+    new[1:] = ~new[1:]
+    head = np.flatnonzero(new)
+    several = np.repeat(np.diff(np.append(head, len(order))) > 1, np.diff(np.append(head, len(order))))
+    first, twice = np.zeros(len(order), bool), np.zeros(len(order), bool)
+    first[order[head]], twice[order] = True, several
+    return first, twice
+
+
 def _common(rows: list[bytes], order: list[int]) -> list[int]:
     """Common prefix lengths of neighbours in order; a text's end differs from anything."""
     out = []
@@ -124,8 +148,8 @@ def _group_spans(rows: DataFrame, length: int, gram: int) -> DataFrame:
 
         def settle() -> None:
             if len(held) > 1:
-                for x, left, right in repeats([r[4] for r in held], [r[5] for r in held], length - gram):
-                    out.append((held[x][1], held[x][2], held[x][3] - left, left + gram + right))
+                for x, left, right in repeats([r[4] for r in held], [r[5] for r in held], length - gram + _MARK):
+                    out.append((held[x][1], held[x][2], held[x][3] - left, left + gram + right - _MARK))
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
@@ -154,48 +178,54 @@ def _block_spans(rows: DataFrame, ws: Workspace, length: int, gram: int) -> Data
     span = length - gram
 
     def blocks(row: tuple) -> Iterator[tuple[int, int, int]]:
-        low, high = span - len(row[5]), len(row[4])
+        low, high = span + _MARK - len(row[5]), len(row[4])
         for b in range(low // STEP, high // STEP + 1):
             yield b, max(low, b * STEP), min(high, b * STEP + STEP - 1)
 
+    names = ["h", "d", "t", "p", "b", "low", "high", "core", "whole", "kind"]
+
     def cut(piece: pa.RecordBatch) -> pa.RecordBatch:
         out = []
         for row in zip(*(c.to_pylist() for c in piece.columns)):
             before, behind = row[4], row[5]
             for b, low, high in blocks(row):
-                core = _hash(before[: b * STEP], behind[: max(0, span - b * STEP - STEP + 1)])
-                out.append((*row[:4], b, low, high, core, _hash(before[:high], behind[: span - low]) ^ (low << 10 | high)))
-        return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], ["h", "d", "t", "p", "b", "low", "high", "core", "whole"])
+                core = _hash(before[: b * STEP], behind[: _MARK + max(0, span - b * STEP - STEP + 1)])
+                out.append((*row[:4], b, low, high, core, _hash(before[:high], behind[: _MARK + span - low]) ^ (low << 10 | high)))
+        cols = [np.array(c, np.int64) for c in zip(*out)]
+        (first, twice), (lead, several) = marks(cols[0], cols[4], cols[7], cols[8]), marks(cols[0], cols[4], cols[7])
+        kind = FIRST * first + TWICE * twice + LEAD * lead + SEVERAL * several
+        return pa.record_batch([*map(pa.array, cols), pa.array(kind)], names)
 
     columns = rows.select("h", "d", "t", "p", "before", "behind")
-    parts = ws.table(map_slices(columns, "behind", cut, "h long, d long, t long, p long, b long, low long, high long, core long, whole long", 1 << 18), "blocks")
-    cores = ws.table(parts.groupBy("h", "b", "core").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "cores")
-    met = ws.table(parts.join(cores, ["h", "b", "core"]), "met_blocks")
-    wholes = ws.table(met.groupBy("h", "b", "core", "whole").agg((F.count(F.lit(1)) > 1).alias("twice")), "wholes")
-    settled = ws.table(met.join(wholes, ["h", "b", "core", "whole"]), "settled")
+    parts = ws.table(map_slices(columns, "behind", cut, ", ".join(f"{n} long" for n in names), 1 << 18), "blocks")
+    core, whole_of = ["h", "b", "core"], ["h", "b", "core", "whole"]
+    cores = ws.table(parts.where(f"kind & {LEAD} > 0").groupBy(*core).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "cores")
+    met = ws.table(parts.where(f"kind & {SEVERAL} > 0").unionByName(parts.where(f"kind & {SEVERAL} = 0").join(cores, core)), "met_blocks")
+    wholes = ws.table(met.where(f"kind & {FIRST} > 0").groupBy(*whole_of).agg((F.count(F.lit(1)) > 1).alias("twice")), "wholes")
+    settled = met.where(f"kind & {TWICE} > 0").withColumn("twice", F.lit(True)).unionByName(met.where(f"kind & {TWICE} = 0").join(wholes, whole_of))
+    settled = ws.table(settled, "settled")
     whole = settled.where("twice").select("d", "t", (F.col("p") - F.col("high")).alias("start"), (F.col("high") - F.col("low") + length).alias("size"))
     open_ = settled.where("NOT twice").groupBy("h", "d", "t", "p").agg(F.collect_set("b").alias("open"))
     # windows of settled blocks count as partners too: one segment of each settled block is opened with the rest
-    again = settled.where("twice").groupBy("h", "b", "core", "whole").agg(F.min(F.struct("d", "t", "p")).alias("r")).select("h", "r.*", F.array("b").alias("open"))
+    again = settled.where(f"twice AND kind & {FIRST} > 0").groupBy(*whole_of).agg(F.min(F.struct("d", "t", "p")).alias("r")).select("h", "r.*", F.array("b").alias("open"))
     todo = open_.union(again.select(open_.columns)).groupBy("h", "d", "t", "p").agg(F.array_distinct(F.flatten(F.collect_list("open"))).alias("open"))
 
     def single(piece: pa.RecordBatch) -> pa.RecordBatch:
-        """A row a window.  ``kind`` has bit 1 if the window stands twice in this piece, bit 0 for its first row there:
-        a very common window is settled where it is met, and one row of a piece stands for it in the count."""
+        """A row a window."""
         places: dict[tuple[int, int, int], list[tuple]] = {}
         for row in zip(*(c.to_pylist() for c in piece.columns)):
             wanted = set(row[6])
             for b, low, high in blocks(row):
                 if b in wanted:
                     for o in range(low, high + 1):
-                        places.setdefault((row[0], o, _hash(row[4][:o], row[5][: span - o])), []).append(row[1:4])
-        out = [(h, *x, o, w, 2 * (len(at) > 1) + (i == 0)) for (h, o, w), at in places.items() for i, x in enumerate(at)]
+                        places.setdefault((row[0], o, _hash(row[4][:o], row[5][: _MARK + span - o])), []).append(row[1:4])
+        out = [(h, *x, o, w, TWICE * (len(at) > 1) + FIRST * (i == 0)) for (h, o, w), at in places.items() for i, x in enumerate(at)]
         return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], ["h", "d", "t", "p", "o", "w", "kind"])
 
     ask = columns.join(ws.table(todo, "open"), ["h", "d", "t", "p"]).select("h", "d", "t", "p", "before", "behind", "open")
     windows = ws.table(map_slices(ask, "behind", single, "h long, d long, t long, p long, o long, w long, kind long", 1 << 18), "single")
-    twice = ws.table(windows.where("kind & 1 = 1").groupBy("h", "o", "w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "twice")
-    known = windows.where("kind >= 2").unionByName(windows.where("kind < 2").join(twice, ["h", "o", "w"]))
+    twice = ws.table(windows.where(f"kind & {FIRST} > 0").groupBy("h", "o", "w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "twice")
+    known = windows.where(f"kind & {TWICE} > 0").unionByName(windows.where(f"kind & {TWICE} = 0").join(twice, ["h", "o", "w"]))
     return whole.unionByName(known.select("d", "t", (F.col("p") - F.col("o")).alias("start"), F.lit(length).cast("long").alias("size")))
 
 
@@ -210,16 +240,21 @@ def repeated_spans(docs: DataFrame, ws: Workspace, length: int = LENGTH, gram: i
         doc, h, p, first, count, seg = anchor_runs(*utf8(piece.column(2)), length, gram)
         if not len(doc):
             return None
-        take = pa.array(doc)
-        return pa.record_batch([piece.column(0).take(take), piece.column(1).take(take), pa.array(h.view(np.int64)), pa.array(p), pa.array(first), pa.array(count), pa.array(seg.view(np.int64))], ["d", "t", "h", "p", "first", "n", "seg"])
-
-    runs = ws.table(map_slices(texts, "text", anchor_rows, "d long, t long, h long, p long, first long, n long, seg long"), "runs")
-    shared = ws.table(runs.groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"), "shared")
-    met = ws.table(runs.join(shared, "h"), "met")
+        take, (first_of, twice), (lead, several) = pa.array(doc), marks(h, seg), marks(h)
+        kind = (FIRST * first_of + TWICE * twice + LEAD * lead + SEVERAL * several).astype(np.int8)
+        columns = [piece.column(0).take(take), piece.column(1).take(take), pa.array(h.view(np.int64)), pa.array(p), pa.array(first), pa.array(count), pa.array(seg.view(np.int64)), pa.array(kind)]
+        return pa.record_batch(columns, ["d", "t", "h", "p", "first", "n", "seg", "kind"])
+
+    runs = ws.table(map_slices(texts, "text", anchor_rows, "d long, t long, h long, p long, first long, n long, seg long, kind byte"), "runs")
+    shared = ws.table(runs.where(f"kind & {LEAD} > 0").groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h"), "shared")
+    alone = runs.where(f"kind & {SEVERAL} = 0").join(shared, "h").select(runs.columns)
+    met = ws.table(runs.where(f"kind & {SEVERAL} > 0").unionByName(alone), "met")
     ws.drop("runs", "shared")
     ws.reclaim()
-    segments = ws.table(met.groupBy("h", "seg").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("d", "t", "p", "first", "n")).alias("r")), "segments")
-    whole = met.join(ws.table(segments.where("c > 1").select("h", "seg"), "copies"), ["h", "seg"]).select("d", "t", F.col("first").alias("start"), (F.col("n") + length - 1).alias("size"))
+    segments = ws.table(met.where(f"kind & {FIRST} > 0").groupBy("h", "seg").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("d", "t", "p", "first", "n")).alias("r")), "segments")
+    copies = ws.table(segments.where("c > 1").select("h", "seg"), "copies")
+    whole = met.where(f"kind & {TWICE} > 0").unionByName(met.where(f"kind & {TWICE} = 0").join(copies, ["h", "seg"]).select(met.columns))
+    whole = whole.select("d", "t", F.col("first").alias("start"), (F.col("n") + length - 1).alias("size"))
     groups = ws.table(segments.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "groups")
     wanted = segments.join(groups, "h").select("r.d", "r.t", F.struct("h", "m", "r.p", "r.first", "r.n").alias("s")).groupBy("d", "t").agg(F.collect_list("s").alias("s"))
     wanted = wanted.select("d", "t", "s.h", "s.m", "s.p", "s.first", "s.n")
@@ -230,7 +265,7 @@ def repeated_spans(docs: DataFrame, ws: Workspace, length: int = LENGTH, gram: i
         for k, (d, t, h, m, p, first, n) in enumerate(zip(*(piece.column(i).to_pylist() for i in (0, 1, 3, 4, 5, 6, 7)))):
             o = int(offs[k])
             for hh, mm, pp, ff, nn in zip(h, m, p, first, n):
-                out.append((hh, mm, d, t, pp, data[o + ff : o + pp][::-1], data[o + pp + gram : o + ff + nn - 1 + length]))
+                out.append((hh, mm, d, t, pp, data[o + ff : o + pp][::-1], xxhash.xxh3_128_digest(data[o + pp : o + pp + gram]) + data[o + pp + gram : o + ff + nn - 1 + length]))
         h, m, d, t, p, before, behind = zip(*out)
         return pa.record_batch([*[pa.array(c, pa.int64()) for c in (h, m, d, t, p)], pa.array(before, pa.binary()), pa.array(behind, pa.binary())], ["h", "m", "d", "t", "p", "before", "behind"])
 
