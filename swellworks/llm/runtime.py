@@ -7,6 +7,7 @@ import contextlib
 import ctypes
 import gc
 import os
+import re
 import shutil
 import tempfile
 import time
@@ -23,10 +24,15 @@ BATCH_BYTES = 8 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (unset, as in tests) a local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Unset, a session whose only machine is this one (a local master, as in tests) gets a folder of its own; any other raises.
+    """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = os.path.join(tempfile.gettempdir(), "swellworks-shared")
     os.makedirs(local, exist_ok=True)
     return "file://" + local
