@@ -1,10 +1,12 @@
 """Substring dedup by relative Lempel-Ziv parsing against the whole corpus.
 
-The reference is every window of ``window`` words of the corpus, indexed by the smallest doc_id (and first place) that
-has it; hash partitions of that index are the reference blocks, and each document meets all of them through joins.  A
-document is factored greedily: a factor starts at a window that a smaller document has and goes on while the next window's source
-is the next place of the same document.  Where it ends, the next window has a lookup of its own, so a window that
-straddles two factors is found wherever it occurs.  All factors of at least ``window`` words are duplicate spans.
+The index answers, for every window of ``window`` words, the smallest doc_id (and first place) that has it; hash
+partitions of it are met through joins.  The texts that it points to are cut into reference blocks of BLOCK words.  Documents
+are dealt out to units of work, and each unit gets the blocks that its documents' lookups point to, each block once.  There a
+document is factored greedily: the next window with a source is looked up, its words are compared with the reference and
+the factor goes on, word by word and block by block, as long as both agree.  Where it ends, the first window that straddles the
+boundary has the next lookup.  Factors of at least ``window`` words are duplicate spans; a lookup whose words differ
+from the reference (equal hashes of unequal words) gives none.
 
 To index little, a window is first filed under its anchor, the least hash among its runs of ``gram`` words: equal windows
 have equal anchors.  Anchors of one document only go; consecutive windows with one anchor travel as one segment, and only
@@ -14,16 +16,18 @@ segments that no smaller document has whole are looked up window by window.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from swellworks.llm.runtime import Workspace, map_slices, ragged, utf8
+from swellworks.llm.runtime import Workspace, map_slices, ragged, settle, ship, slices, utf8
 from swellworks.llm.words import Words, _powers, joined, mix, sliding_min
 
 WINDOW, GRAM = 13, 7
+BLOCK = 64  # words of a reference block
+UNIT_BYTES = 1 << 20  # of text in a unit of work
 _U = np.uint64
 _PLACE = 26  # bits of a word's number within a piece of work
 
@@ -135,71 +139,180 @@ def sources(docs: DataFrame, ws: Workspace, window: int = WINDOW, gram: int = GR
     return whole.unionByName(parts)
 
 
-def factors(pos: np.ndarray, n: np.ndarray, src_doc: np.ndarray, src_pos: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, ...]:
-    """Greedy factors (start word, words, source document, source word) of one document from its runs of sourced windows."""
-    order = np.argsort(pos, kind="stable")
-    pos, n, src_doc, src_pos = pos[order], n[order], src_doc[order], src_pos[order]
-    if not len(pos):
-        return pos, n, src_doc, src_pos
+def chains(pos: np.ndarray, n: np.ndarray, src_doc: np.ndarray, src_pos: np.ndarray) -> np.ndarray:
+    """Where a new chain of runs starts: runs in order of pos whose source doesn't go on from the run before."""
     go_on = (pos[1:] == pos[:-1] + n[:-1]) & (src_doc[1:] == src_doc[:-1]) & (src_pos[1:] == src_pos[:-1] + n[:-1])
-    head = np.flatnonzero(np.concatenate([[True], ~go_on]))
-    return pos[head], np.add.reduceat(n, head) + window - 1, src_doc[head], src_pos[head]
+    return np.flatnonzero(np.concatenate([[True], ~go_on]))
 
 
-def _per_document(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Documents with their runs: doc_id, text and four arrays (null where there is none)."""
-    runs = found.groupBy("doc_id", "t").agg(F.collect_list(F.struct("pos", "n", "src_doc", "src_pos")).alias("r"))
-    runs = runs.select("doc_id", "t", "r.pos", "r.n", "r.src_doc", "r.src_pos")
-    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("t"))
-    return texts.join(runs, ["doc_id", "t"], "left").select("doc_id", "text", "pos", "n", "src_doc", "src_pos")
+Blocks = dict[tuple[int, int], dict[int, list[bytes]]]  # (doc_id, number) to the block's words in each text of that doc_id
 
 
-def _each(piece: pa.RecordBatch, window: int) -> Callable[[int], tuple[np.ndarray, ...]]:
-    columns = [piece.column(k) for k in range(2, 6)]
-    bounds = [c.offsets.to_numpy() for c in columns]
-    flat = [c.values.to_numpy(zero_copy_only=False) for c in columns]
-    return lambda d: factors(*[v[b[d] : b[d + 1]].astype(np.int64) for v, b in zip(flat, bounds)], window)
+def extension(words: list[bytes], at: int, blocks: Blocks, doc: int, pos: int) -> int:
+    """How many words from ``at`` on equal those of document ``doc`` from its word ``pos`` on, as far as its blocks are here."""
+    best = 0
+    for t in blocks.get((doc, pos // BLOCK), ()):
+        n = 0
+        while ref := blocks.get((doc, (pos + n) // BLOCK), {}).get(t, [])[(pos + n) % BLOCK :]:
+            own = words[at + n : at + n + len(ref)]
+            if own != ref:
+                n += next((i for i, (x, y) in enumerate(zip(own, ref)) if x != y), len(own))
+                break
+            n += len(ref)
+        best = max(best, n)
+    return best
 
 
-def parse(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, start_word, n_words, src_doc, src_word): the duplicate factors of all documents."""
+def factors(words: list[bytes], runs: np.ndarray, blocks: Blocks, window: int = WINDOW) -> list[tuple[int, int, int, int]]:
+    """Greedy factors (start word, words, source document, source word) of a document.
+
+    ``runs`` has rows of pos, n, src_doc, src_pos in order of pos: the index's answers for the n windows from word pos on.
+    """
+    out, q = [], 0
+    for pos, n, doc, src in runs.tolist():
+        q = max(q, pos)
+        while q < pos + n:
+            size = extension(words, q, blocks, doc, src + q - pos)
+            if size >= window:
+                out.append((q, size, doc, src + q - pos))
+                q += size - window  # windows inside the factor are done
+            q += 1
+    return out
+
+
+LISTS = "pos array<int>, n array<int>, src_doc array<long>, src_pos array<int>"
+
+
+def _asked(runs: DataFrame, window: int) -> DataFrame:
+    """(b, src_doc, k): the reference blocks that the runs of unit b point to."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.columns[3:]
+            bounds = lists[0].offsets.to_numpy()
+            pos, n, doc, src = (c.values.to_numpy().astype(np.int64) for c in lists)
+            head = np.union1d(chains(pos, n, doc, src), bounds[:-1])
+            first, last = src[head] // BLOCK, (src[head] + np.add.reduceat(n, head) + window - 2) // BLOCK
+            owner = np.searchsorted(bounds, head, "right") - 1
+            many = last - first + 1
+            yield pa.record_batch([batch.column(0).take(pa.array(np.repeat(owner, many))), pa.array(np.repeat(doc[head], many)), pa.array(ragged(first, many))], ["b", "src_doc", "k"])
+
+    return runs.mapInArrow(work, "b long, src_doc long, k long").distinct()
+
+
+def _blocks(texts: DataFrame, want: DataFrame) -> DataFrame:
+    """(src_doc, t, k, block): the words of the wanted blocks, joined by a space.  ``want`` has doc_id and the list k."""
+
+    def cut(piece: pa.RecordBatch) -> pa.RecordBatch | None:
+        buf, offs = utf8(piece.column(2))
+        w, out = Words(buf, offs), []
+        for d, (doc, t, ks) in enumerate(zip(*(piece.column(i).to_pylist() for i in (0, 1, 3)))):
+            a, b = int(w.first[d]), int(w.first[d + 1])
+            for k in ks:
+                x, y = a + k * BLOCK, min(a + (k + 1) * BLOCK, b)
+                if x < y:
+                    out.append((doc, t, k, joined(buf, w.start[x:y], w.end[x:y]).decode("utf-8")))
+        return pa.record_batch([pa.array(c) for c in zip(*out)], ["src_doc", "t", "k", "block"]) if out else None
+
+    held = texts.join(want, "doc_id").select("doc_id", "t", "text", "k").dropDuplicates(["doc_id", "t"])
+    return map_slices(held, "text", cut, "src_doc long, t long, k long, block string")
+
+
+def _factored(docs: DataFrame, window: int, work: Callable, schema: str) -> DataFrame:
+    """``work(piece, runs, blocks)`` over all documents: piece has doc_id, t, text; runs are by (doc_id, t).
+
+    Rows travel in units of about UNIT_BYTES of text: reference blocks first, the index's answers next, texts last.
+    """
     ws = Workspace(docs.sparkSession, "rlz")
+    found = ws.table(sources(docs, ws, window), "sources")
+    ws.drop("met", "by_window")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    units = max(-(-size // UNIT_BYTES), 16 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    unit = F.pmod(F.xxhash64("doc_id", "t"), F.lit(units)).cast("long").alias("b")
+    grouped = found.groupBy("doc_id", "t").agg(F.sort_array(F.collect_set(F.struct("pos", "n", "src_doc", "src_pos"))).alias("r"))
+    runs = ws.table(grouped.select(unit, "doc_id", "t", "r.pos", "r.n", "r.src_doc", "r.src_pos"), "runs")
+    ws.drop("sources")
+    ws.reclaim()
+    asks = ws.table(_asked(runs, window), "asks")
+    want = asks.select("src_doc", "k").distinct().groupBy(F.col("src_doc").alias("doc_id")).agg(F.sort_array(F.collect_list("k")).alias("k"))
+    blocks = asks.join(_blocks(texts, want), ["src_doc", "k"])
+    none = [F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in LISTS.split(", ")]
+    rows = (
+        blocks.select("b", F.lit(0).alias("kind"), F.col("src_doc").alias("doc_id"), "t", "k", F.col("block").alias("text"), *none)
+        .unionByName(runs.select("b", F.lit(1).alias("kind"), "doc_id", "t", F.lit(0).cast("long").alias("k"), F.lit("").alias("text"), "pos", "n", "src_doc", "src_pos"))
+        .unionByName(texts.select(unit, F.lit(2).alias("kind"), "doc_id", "t", F.lit(0).cast("long").alias("k"), "text", *none))
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, blocks, runs = None, {}, {}
+        for batch in batches:
+            b, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = [0, *(np.flatnonzero((b[1:] != b[:-1]) | (kind[1:] != kind[:-1])) + 1).tolist(), batch.num_rows]
+            for x, y in zip(cuts, cuts[1:]):
+                part = batch.slice(x, y - x)
+                if now != b[x]:
+                    now, blocks, runs = b[x], {}, {}
+                ids = zip(part.column(2).to_pylist(), part.column(3).to_pylist())
+                if kind[x] == 0:
+                    for (doc, t), k, text in zip(ids, part.column(4).to_pylist(), part.column(5).cast(pa.binary()).to_pylist()):
+                        blocks.setdefault((doc, k), {})[t] = text.split(b" ")
+                elif kind[x] == 1:
+                    runs.update((i, np.array(r, np.int64).T) for i, *r in zip(ids, *(c.to_pylist() for c in part.columns[6:])))
+                else:
+                    for piece in slices(part.select(["doc_id", "t", "text"]), "text"):
+                        out = work(piece, runs, blocks)
+                        if out is not None:
+                            yield out
+            settle()
+
+    dealt = rows.repartition("b").sortWithinPartitions("b", "kind")
+    return dealt.mapInArrow(run, schema)
+
+
+def _parsed(piece: pa.RecordBatch, runs: dict, blocks: Blocks, window: int) -> tuple[np.ndarray, Words, list[list[tuple[int, int, int, int]]]]:
+    """(bytes, words, factors of each document) of a piece."""
+    buf, offs = utf8(piece.column(2))
+    w, out = Words(buf, offs), []
+    for d, i in enumerate(zip(piece.column(0).to_pylist(), piece.column(1).to_pylist())):
+        a, b, mine = int(w.first[d]), int(w.first[d + 1]), runs.get(i)
+        out.append(factors(joined(buf, w.start[a:b], w.end[a:b]).split(b" "), mine, blocks, window) if mine is not None else [])
+    return buf, w, out
 
-    def work(piece: pa.RecordBatch) -> pa.RecordBatch | None:
-        each, rows, owner = _each(piece, window), [], []
-        for d in range(piece.num_rows):
-            got = np.stack(each(d))
-            rows.append(got)
-            owner += [d] * got.shape[1]
-        if not owner:
+
+def parse(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(doc_id, start_word, n_words, src_doc, src_word): the duplicate factors of all documents.
+
+    Null and empty texts, rows without a doc_id and empty tables have none; repeated rows have theirs each.
+    """
+
+    def work(piece: pa.RecordBatch, runs: dict, blocks: Blocks) -> pa.RecordBatch | None:
+        found = [(d, *f) for d, fs in enumerate(_parsed(piece, runs, blocks, window)[2]) for f in fs]
+        if not found:
             return None
-        return pa.record_batch([piece.column(0).take(pa.array(owner)), *[pa.array(x) for x in np.concatenate(rows, axis=1)]], ["doc_id", "start_word", "n_words", "src_doc", "src_word"])
+        owner, *columns = zip(*found)
+        return pa.record_batch([piece.column(0).take(pa.array(owner)), *[pa.array(c, pa.int64()) for c in columns]], ["doc_id", "start_word", "n_words", "src_doc", "src_word"])
 
-    return map_slices(_per_document(docs, ws.table(sources(docs, ws, window), "sources")), "text", work, "doc_id long, start_word long, n_words long, src_doc long, src_word long")
+    return _factored(docs, window, work, "doc_id long, start_word long, n_words long, src_doc long, src_word long")
 
 
 def removed(docs: DataFrame, window: int = WINDOW, text: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256[, kept]): each document without the words of its factors.
 
     Kept words are joined by one space.  Null text counts as empty; rows that share a doc_id are no source for each
-    other; a row without a doc_id is kept whole; repeated rows stay rows; an empty table gives an empty result.
+    other; a row without a doc_id is kept whole; repeated rows stay rows; an empty table gives an empty result; a text
+    of any length is one document; other columns are ignored.
     """
-    ws = Workspace(docs.sparkSession, "rlz")
-    found = ws.table(sources(docs, ws, window), "sources")
-    ws.drop("met", "by_window")
-    ws.reclaim()
 
-    def work(piece: pa.RecordBatch) -> pa.RecordBatch:
-        buf, offs = utf8(piece.column(1))
-        w, each = Words(buf, offs), _each(piece, window)
+    def work(piece: pa.RecordBatch, runs: dict, blocks: Blocks) -> pa.RecordBatch:
+        buf, w, found = _parsed(piece, runs, blocks, window)
         total, gone, digest, kept = [], [], [], []
-        for d in range(piece.num_rows):
+        for d, own in enumerate(found):
             a, b = int(w.first[d]), int(w.first[d + 1])
-            edge = np.zeros(b - a + 1, np.int64)
-            start, size, _, _ = each(d)
-            np.add.at(edge, start, 1)
-            np.add.at(edge, start + size, -1)
-            keep = a + np.flatnonzero(np.cumsum(edge[:-1]) == 0)
+            stays = np.ones(b - a, bool)
+            for start, size, _, _ in own:
+                stays[start : start + size] = False
+            keep = a + np.flatnonzero(stays)
             rest = joined(buf, w.start[keep], w.end[keep])
             total.append(b - a)
             gone.append(b - a - len(keep))
@@ -207,4 +320,4 @@ def removed(docs: DataFrame, window: int = WINDOW, text: bool = False) -> DataFr
             kept.append(rest.decode("utf-8") if text else None)
         return pa.record_batch([piece.column(0), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(digest, pa.string())] + [pa.array(kept, pa.string())] * text, ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * text)
 
-    return map_slices(_per_document(docs, found), "text", work, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * text)
+    return _factored(docs, window, work, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * text)

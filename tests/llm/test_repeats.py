@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from corpus_helpers import rows
 
@@ -78,6 +79,30 @@ def test_rlz_small_alphabet_and_edits(spark):
         assert any(tuple(w[f.src_word : f.src_word + f.n_words]) in piece for w in texts[f.src_doc])
 
 
+def test_rlz_unequal_words_of_equal_polynomials(spark):
+    mirror = lambda n, a, b: "".join(b if bin(i).count("1") & 1 else a for i in range(n))
+    docs = [(i, " ".join([*(f"w{j}" for j in range(6)), mirror(1024, *ab), *(f"w{j}" for j in range(6, 12))])) for i, ab in enumerate(["ab", "ba", "ab"])]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert rows(rlz.removed(df)) == words_removed(docs)
+    assert [r[2] for r in words_removed(docs)] == [0, 0, 13]
+
+
+def test_rlz_factors_follow_the_reference():
+    ref = [b"%d" % i for i in range(200)]
+    blocks = {(1, k): {7: ref[64 * k : 64 * k + 64]} for k in range(4)}
+    own = ref[50:140] + [b"x"] + ref[141:160]
+    runs = np.array([[0, 20, 1, 50], [91, 7, 1, 141]])  # factors go on past the index's answers, over blocks
+    assert rlz.factors(own, runs, blocks) == [(0, 90, 1, 50), (91, 19, 1, 141)]
+    assert rlz.factors(own, np.array([[0, 5, 1, 51]]), blocks) == []  # an answer whose words differ is none
+    assert rlz.factors(own, np.array([[0, 78, 2, 0]]), blocks) == []
+
+
+def test_rlz_texts_of_one_id(spark):
+    base = [f"w{i}" for i in range(400)]
+    docs = [(1, " ".join(base[:150])), (1, " ".join(base[150:300])), (2, " ".join(base[100:200])), (2, " ".join(base[140:290])), (3, " ".join(base[20:280])), (3, " ".join(base[20:280]))]
+    assert rows(rlz.removed(spark.createDataFrame(docs, "doc_id long, text string"))) == words_removed(docs)
+
+
 def test_suffix_real_texts(documents, odd, empty):
     for docs in (documents, odd):
         assert rows(suffix.without_repeats(docs)) == bytes_removed(pairs(docs), 400)
@@ -105,6 +130,19 @@ def test_cleaned_text(spark, odd):
     assert suffix.cleaned(odd).columns == odd.columns
 
 
+def test_suffix_common_passage_and_copies(spark):
+    """A passage in most texts, many exact copies, and unequal passages whose polynomials are equal."""
+    random.seed(8)
+    word = lambda: "".join(random.choice("abcdefgh") for _ in range(6))
+    passage, copy = " ".join(word() for _ in range(70)), " ".join(word() for _ in range(100))
+    docs = [(i, " ".join(word() for _ in range(random.randint(1, 60))) + passage[random.randrange(20) :] + word()) for i in range(150)]
+    docs += [(200 + i, copy) for i in range(150)] + [(400, copy[:399]), (401, passage[:400]), (402, "x" + passage[:399] + "y")]
+    docs += [(500 + i, "".join(b if bin(j).count("1") & 1 else a for j in range(1024))) for i, (a, b) in enumerate(["ab", "ba"])]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(7)
+    for group in (256, 4):
+        assert rows(suffix.without_repeats(df, group=group)) == bytes_removed(docs, 400)
+
+
 def test_intervals():
     #                      banana's suffixes a, ana, anana, banana, na, nana
     assert sorted(suffix.intervals([1, 3, 0, 0, 2])) == [(0, 0, 5), (1, 0, 2), (2, 4, 5), (3, 1, 2)]
@@ -112,8 +150,6 @@ def test_intervals():
 
 def test_long_text_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(suffix, "PIECE", 1000)
-    import numpy as np
-
     random.seed(7)
     buf = np.frombuffer(("".join(random.choice("abc") for _ in range(5000)) * 2).encode(), np.uint8)
     cut = suffix.anchor_runs(buf, np.array([0, len(buf)]), 60, 30)
