@@ -2,8 +2,8 @@
 
 Archives are ``.warc.gz`` files, one gzip member a record.  The index keeps captures sorted by reversed-host key
 (``com,example)/path``) in compressed blocks; every index file ends with a sparse directory of its blocks' first
-keys.  A lookup searches the list of index files, then one directory, by bisection, and reads single blocks and
-records by byte range.
+entries.  A lookup searches the list of index files, then one directory, by bisection, and reads single blocks and
+records by byte range.  The order is (key, page_id), so lookups of a very common key can be shared out by page.
 """
 
 from __future__ import annotations
@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from swellworks.llm.runtime import RangeReader, Workspace, put_file, slices
+from swellworks.llm.runtime import RangeReader, Workspace, map_slices, put_file, slices
 
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ENTRIES = "key string, page_id long, uri string, offset long, length long, record_type string"
-PARTS = "part int, uri string, first_key string, last_key string, entries long"
+PARTS = "part int, uri string, first_key string, first_page long, last_key string, last_page long, entries long"
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload binary"
 TRAILER = "<QQ8s"  # directory offset, its length, magic
 MAGIC = b"CAPIDX1\n"
@@ -140,19 +140,19 @@ def write_index(captures: DataFrame, ws: Workspace, block: int = 1024, per_part:
     dealt = captures.repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, out, at, directory, waiting, last, total = TaskContext.get().partitionId(), [], 0, [], [], "", 0
+        here, out, at, directory, waiting, last, total = TaskContext.get().partitionId(), [], 0, [], [], ("", None), 0
 
         def flush() -> None:
             nonlocal at, waiting
             body = zlib.compress("\n".join(json.dumps(x) for x in waiting).encode(), 4)
-            directory.append((waiting[0][0], at, len(body)))
+            directory.append((*waiting[0][:2], at, len(body)))
             out.append(body)
             at, waiting = at + len(body), []
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 waiting.append(row)
-                last, total = row[0], total + 1
+                last, total = row[:2], total + 1
                 if len(waiting) == block:
                     flush()
         if waiting:
@@ -161,62 +161,105 @@ def write_index(captures: DataFrame, ws: Workspace, block: int = 1024, per_part:
             return
         body = zlib.compress(json.dumps(directory).encode(), 4)
         uri = put_file(folder, f"captures-{here:06d}-{uuid.uuid4().hex[:8]}.idx", [*out, body, struct.pack(TRAILER, at, len(body), MAGIC)])
-        yield pa.record_batch([pa.array([here], pa.int32()), pa.array([uri]), pa.array([directory[0][0]]), pa.array([last]), pa.array([total], pa.int64())], ["part", "uri", "first_key", "last_key", "entries"])
+        row = [here, uri, *directory[0][:2], *last, total]
+        types = [pa.int32(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+        yield pa.record_batch([pa.array([v], t) for v, t in zip(row, types)], ["part", "uri", "first_key", "first_page", "last_key", "last_page", "entries"])
 
     return ws.table(dealt.mapInArrow(write, PARTS), "index_list")
 
 
+Place = tuple[str, bool, int]
+
+
+def _place(key: str, page: int | None) -> Place:
+    """An entry's place in the index; nulls come first, as Spark sorts them."""
+    return key, page is not None, page or 0
+
+
 class CaptureIndex:
-    """Lookups in the index files listed by write_index (one row a file, sorted here by part)."""
+    """Lookups in the index files listed by write_index (rows of PARTS, one a file, sorted here by part)."""
 
-    def __init__(self, parts: list[tuple[int, str, str, str, int]]):
+    def __init__(self, parts: list[tuple]):
         self.parts = sorted(parts)
-        self.lasts = [p[3] for p in self.parts]
+        self.firsts, self.lasts = [_place(*p[2:4]) for p in self.parts], [_place(*p[4:6]) for p in self.parts]
         self.read = RangeReader()
-        self._directories: dict[str, list] = {}
+        self._directory: tuple[str, list[Place], list[tuple[int, int]]] = ("", [], [])
+        self._block: tuple[str, int, list[Place], list[list]] = ("", -1, [], [])
 
-    def directory(self, uri: str) -> list:
-        if uri not in self._directories:
+    def directory(self, uri: str) -> tuple[list[Place], list[tuple[int, int]]]:
+        """(first entries, byte ranges) of a file's blocks; the last file's are kept."""
+        if uri != self._directory[0]:
             size = self.read.size(uri)
             tail = struct.calcsize(TRAILER)
             at, n, magic = struct.unpack(TRAILER, self.read(uri, size - tail, tail))
             if magic != MAGIC:
                 raise ValueError(f"{uri} is no capture index")
-            self._directories[uri] = json.loads(zlib.decompress(self.read(uri, at, n)))
-        return self._directories[uri]
-
-    def block(self, uri: str, at: int, n: int) -> list[list]:
-        return [json.loads(x) for x in zlib.decompress(self.read(uri, at, n)).split(b"\n")]
-
-    def lookup(self, url: str) -> list[list]:
+            rows = json.loads(zlib.decompress(self.read(uri, at, n)))
+            self._directory = uri, [_place(*r[:2]) for r in rows], [tuple(r[2:]) for r in rows]
+        return self._directory[1:]
+
+    def block(self, uri: str, at: int, n: int) -> tuple[list[Place], list[list]]:
+        """(places, entries) of a block; the last one is kept."""
+        if (uri, at) != self._block[:2]:
+            rows = [json.loads(x) for x in zlib.decompress(self.read(uri, at, n)).split(b"\n")]
+            self._block = uri, at, [_place(*r[:2]) for r in rows], rows
+        return self._block[2:]
+
+    def between(self, low: Place, high: Place) -> Iterator[list]:
+        """All entries from one place to another, both included: two bisections, then a block at a time."""
+        for p in range(bisect_left(self.lasts, low), bisect_right(self.firsts, high)):
+            uri = self.parts[p][1]
+            firsts, ranges = self.directory(uri)
+            for at, n in ranges[max(0, bisect_left(firsts, low) - 1) : bisect_right(firsts, high)]:
+                places, rows = self.block(uri, at, n)
+                yield from rows[bisect_left(places, low) : bisect_right(places, high)]
+
+    def lookup(self, url: str | None) -> list[list]:
         """All captures of a url: rows of key, page_id, uri, offset, length, record_type."""
-        key, found = reversed_host_key(url), []
-        for p in self.parts[bisect_left(self.lasts, key) :]:
-            if p[2] > key:
-                break
-            blocks = self.directory(p[1])
-            firsts = [b[0] for b in blocks]
-            for _, at, n in blocks[max(0, bisect_left(firsts, key) - 1) : bisect_right(firsts, key)]:
-                found += [x for x in self.block(p[1], at, n) if x[0] == key]
-        return found
+        key = reversed_host_key(url)
+        return list(self.between((key, False, 0), (key, True, 1 << 64)))
+
+    def lookup_page(self, url: str | None, page: int | None) -> Iterator[list]:
+        """The captures of a url that a page has."""
+        place = _place(reversed_host_key(url), page)
+        return self.between(place, place)
 
     def fetch(self, capture: list) -> dict:
         """The record of a capture, by one range read."""
         return parse(self.read(capture[2], capture[3], capture[4]))
 
 
-def indexed_captures(parts: DataFrame) -> DataFrame:
-    """Every capture of the index, decoded block by block from the directories."""
+def captures_of(pages: DataFrame, parts: DataFrame, per_task: int = 1 << 16) -> DataFrame:
+    """Every page's captures, each found in the index by bisection of its url's key and its page_id.
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Lookups are dealt out by ranges of that order, so a task meets a few index files only and neighbours share blocks; a
+    url that many pages share is spread over tasks.  What travels to them is one row an index file (a million captures).
+    """
+    listed = parts.sparkSession.sparkContext.broadcast([tuple(r) for r in parts.toLocalIterator()])
+
+    def key(piece: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([reversed_host_key(u) for u in piece.column(1).to_pylist()]), piece.column(0)], ["key", "page_id"])
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, found = CaptureIndex(listed.value), []
+        types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()]
+        out = lambda: pa.record_batch([pa.array(c, t) for c, t in zip(zip(*found), types)], ["key", "page_id", "uri", "offset", "length", "record_type"])
         for batch in batches:
-            for uri in batch.column(0).to_pylist():
-                index = CaptureIndex([])
-                for _, at, n in index.directory(uri):
-                    k, p, u, o, s, t = zip(*index.block(uri, at, n))
-                    yield pa.record_batch([pa.array(k, pa.string()), pa.array(p, pa.int64()), pa.array(u), pa.array(o, pa.int64()), pa.array(s, pa.int64()), pa.array(t)], ["key", "page_id", "uri", "offset", "length", "record_type"])
+            for place in map(_place, *(c.to_pylist() for c in batch.columns)):
+                for row in index.between(place, place):
+                    found.append(row)
+                    if len(found) == 4096:
+                        yield out()
+                        found = []
+        if found:
+            yield out()
+        index.read.close()
 
-    return parts.select("uri").mapInArrow(read, ENTRIES)
+    wanted = map_slices(pages.select("page_id", "url"), "url", key, "key string, page_id long")
+    ws = Workspace(pages.sparkSession, "lookups")
+    asked = ws.table(wanted.distinct(), "asked")
+    tasks = max(1, -(-asked.count() // per_task))
+    return asked.repartitionByRange(tasks, "key", "page_id").sortWithinPartitions("key", "page_id").mapInArrow(find, ENTRIES)
 
 
 def read_records(captures: DataFrame, ws: Workspace, target: int = 8 << 20, payloads: bool = True) -> DataFrame:
@@ -252,7 +295,7 @@ def read_records(captures: DataFrame, ws: Workspace, target: int = 8 << 20, payl
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:
-    """Write all pages as archives, index them, and read every record back through the index.
+    """Write all pages as archives, index them, look every page's url up in the index and read its record back.
 
     Columns: page_id, payload_bytes, payload_digest, record_type, refers_to, url.  Null html is an empty payload,
     a null url is kept out of its record (key ''), a null page_id is never a keeper.  Repeated rows give a record
@@ -261,4 +304,4 @@ def archive_round_trip(pages: DataFrame) -> DataFrame:
     ws = Workspace(pages.sparkSession, "warc")
     captures = write_archives(decide(pages, ws), ws)
     parts = write_index(captures, ws)
-    return read_records(indexed_captures(parts), ws, payloads=False).drop("payload")
+    return read_records(captures_of(pages, parts), ws, payloads=False).drop("payload")

@@ -43,7 +43,19 @@ def test_round_trip_and_lookup(spark):
             assert found, url
             got = index.fetch(found[0])
             assert got["page_id"] == page and (got["record_type"] == "revisit" or got["payload"] == (html or "").encode())
-    assert index.lookup("http://nowhere.example/") == []
+            assert [index.fetch(c)["page_id"] for c in index.lookup_page(url, page)] == [page] * pages.count((page, url, html))
+    assert index.lookup("http://nowhere.example/") == [] and list(index.lookup_page("http://e.org", 5)) == []
+
+
+def test_common_url_and_repeated_rows(spark):
+    """One url and null urls over many blocks and index files; each capture is found once."""
+    pages = [(i, "http://hot.example/", f"p{i}") for i in range(150)] + [(None, None, "none")] * 9 + [(7, "http://hot.example/", "p7")] * 5 + [(i, None, None) for i in range(60)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)
+    ws = Workspace(spark, "warc-test")
+    parts = warc.write_index(warc.write_archives(warc.decide(df, ws), ws, target=500), ws, block=4, per_part=30)
+    found = warc.captures_of(df, parts, per_task=40)
+    assert rows(found, "page_id") == sorted([(p[0],) for p in pages], key=repr)
+    assert found.select("uri", "offset").distinct().count() == len(pages)
 
 
 def test_keys():
