@@ -1,13 +1,13 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, verified by exact shingle containment.
 
-Test items are partitioned by their number of word shingles, [8, 16), [16, 32) and so on.  For the partition with
-upper bound u a document counts as its windows of 2u shingles, one every u: an item that a document holds within u
+Test items are partitioned by their number of word shingles: 1, 2 and 3, 4 to 7 and so on.  For the partition of sizes
+below u a document counts as its windows of 2u shingles, one every u: an item that a document holds within u
 shingles lies inside one of them, whose size is of the item's order, so containment turns into a Jaccard bound that does not
-depend on the document's length.  Items and windows get one-permutation MinHash signatures (a bin is the hash modulo
-the number of bins, its value the least hash); a window and an item with an equal bin are candidates.  There are so
-many bins, 2^20 u, that a shingle shares its bin with another of its window once in half a million times: items of a
-single shingle are found as well, and an item of n shingles is missed if that happens to all it shares.  Every candidate is
-verified: the exact share of the item's distinct shingles that occur in the document.
+depend on the document's length.  Items and windows get one-permutation MinHash signatures of PERMUTATIONS x BINS places (a
+bin is some bits of the hash, its value the least hash); a window and an item with an equal place are candidates.  An item of one
+shingle is lost if in every permutation and window a lesser hash shares its bin, about once in 30,000 times; the more shingles
+are shared the less likely (the tests measure it).  Every candidate is verified: the exact share of the item's distinct
+shingles that occur in the whole document.
 """
 
 from __future__ import annotations
@@ -21,23 +21,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from swellworks.llm.runtime import map_slices, utf8
-from swellworks.llm.words import LOWER, Words, joined
+from swellworks.llm.words import LOWER, Words, joined, mix
 
 WORDS, CONTAINMENT = 5, 0.8
+BINS, PERMUTATIONS = 256, 2
 
 
 @dataclass
-class SizePartition:
-    """Items of one size range: bins' least hashes, and which items have them."""
+class Signatures:
+    """One permutation's signature values of a partition's items, and which items have them."""
 
-    width: int  # words a shingle: WORDS, or all words of a shorter item
-    upper: int  # shingles of its items are fewer
-    values: np.ndarray  # sorted signature values
+    values: np.ndarray  # sorted, all different
     first: np.ndarray  # ranges of ``owner`` for each
     owner: np.ndarray
     sieve: np.ndarray  # bitmap over the values' low bits
 
 
+@dataclass
+class SizePartition:
+    """Items of one size range."""
+
+    width: int  # words a shingle: WORDS, or all words of a shorter item
+    upper: int  # shingles of its items are fewer
+    signatures: list[Signatures]
+
+
 def item_shingles(text: str | None, k: int = WORDS) -> tuple[int, frozenset[bytes]]:
     """(words a shingle, distinct shingles): fewer than k words give one shingle of all; none give none."""
     raw = LOWER[np.frombuffer((text or "").encode(), np.uint8)]
@@ -53,8 +61,18 @@ def _shingle_hashes(buf: np.ndarray, offs: np.ndarray, k: int) -> tuple[Words, n
     return w, h, first
 
 
-def bins_of(upper: int) -> int:
-    return upper << 20
+def permuted(h: np.ndarray, p: int) -> np.ndarray:
+    return mix(h + np.uint64(p)) if p else h
+
+
+def _bin(h: np.ndarray) -> np.ndarray:
+    return h >> np.uint64(64 - BINS.bit_length() + 1)
+
+
+def signature(h: np.ndarray) -> np.ndarray:
+    """The least hash of each bin that has one."""
+    h = np.sort(h)  # a bin is the top bits, so its hashes are neighbours
+    return h[np.concatenate([[True], _bin(h[1:]) != _bin(h[:-1])])] if len(h) else h
 
 
 def build(items: dict[int, tuple[int, frozenset[bytes]]]) -> list[SizePartition]:
@@ -62,50 +80,48 @@ def build(items: dict[int, tuple[int, frozenset[bytes]]]) -> list[SizePartition]
     groups: dict[tuple[int, int], list[int]] = defaultdict(list)
     for i, (width, shingles) in items.items():
         if shingles:
-            groups[width, 1 << max(3, len(shingles).bit_length())].append(i)
+            groups[width, 1 << len(shingles).bit_length()].append(i)
     out = []
     for (width, upper), ids in sorted(groups.items()):
-        m, rows = np.uint64(bins_of(upper)), defaultdict(list)
+        hashes = []
         for i in ids:
-            text = [s for s in items[i][1]]
+            text = sorted(items[i][1])
             buf = np.frombuffer(b"".join(text), np.uint8)
-            _, h, _ = _shingle_hashes(buf, np.concatenate([[0], np.cumsum([len(s) for s in text])]), width)
-            least: dict[int, int] = {}
-            for v, b in zip(h.tolist(), (h % m).tolist()):
-                least[b] = min(v, least.get(b, v))
-            for v in least.values():
-                rows[v].append(i)
-        values = np.array(sorted(rows), np.uint64)
-        sieve = np.zeros(1 << 22, bool)
-        sieve[values & np.uint64((1 << 22) - 1)] = True
-        counts = [len(rows[v]) for v in values.tolist()]
-        out.append(SizePartition(width, upper, values, np.concatenate([[0], np.cumsum(counts)]), np.array([i for v in values.tolist() for i in rows[v]], np.int64), sieve))
+            hashes.append(_shingle_hashes(buf, np.concatenate([[0], np.cumsum([len(s) for s in text])]), width)[1])
+        signatures = []
+        for p in range(PERMUTATIONS):
+            rows = [signature(permuted(h, p)) for h in hashes]
+            flat, owner = np.concatenate(rows), np.repeat(np.array(ids, np.int64), [len(r) for r in rows])
+            order = np.lexsort((owner, flat))
+            values, first = np.unique(flat[order], return_index=True)
+            sieve = np.zeros(1 << max(10, (16 * len(values)).bit_length()), bool)
+            sieve[values & np.uint64(len(sieve) - 1)] = True
+            signatures.append(Signatures(values, np.append(first, len(flat)), owner[order], sieve))
+        out.append(SizePartition(width, upper, signatures))
     return out
 
 
 def candidates(part: SizePartition, h: np.ndarray, first: np.ndarray) -> set[tuple[int, int]]:
-    """(document, item) with an equal signature bin in some window.
+    """(document, item) with an equal signature place in some window.
 
-    The table is probed before signatures are made: a bin's value can only agree if some shingle has that value,
-    so only such shingles are tested for being the least of their bin in their two windows.
+    The items' values are probed before windows' signatures are made: a place can only agree if some shingle has that
+    value, so only such shingles are tested for being the least of their bin in their two windows.
     """
-    probe = np.flatnonzero(part.sieve[h & np.uint64((1 << 22) - 1)])
-    if not len(probe):
-        return set()
-    slot = np.searchsorted(part.values, h[probe])
-    good = (slot < len(part.values)) & (part.values[np.minimum(slot, len(part.values) - 1)] == h[probe])
-    probe, slot = probe[good], slot[good]
-    doc = np.searchsorted(first, probe, "right") - 1
-    m, found = np.uint64(bins_of(part.upper)), set()
-    for p, s, d in zip(probe.tolist(), slot.tolist(), doc.tolist()):
-        a, end, v = int(first[d]), int(first[d + 1]), h[p]
-        step = (p - a) // part.upper
-        for k in (step - 1, step):
-            lo, hi = a + max(k, 0) * part.upper, min(a + (k + 2) * part.upper, end)
-            if k >= 0 or step == 0:
-                window = h[lo:hi]
-                if not ((window % m == v % m) & (window < v)).any():
-                    found.update((d, int(i)) for i in part.owner[part.first[s] : part.first[s + 1]])
+    found: set[tuple[int, int]] = set()
+    for p, own in enumerate(part.signatures):
+        hp = permuted(h, p)
+        probe = np.flatnonzero(own.sieve[hp & np.uint64(len(own.sieve) - 1)])
+        slot = np.minimum(np.searchsorted(own.values, hp[probe]), len(own.values) - 1)
+        good = own.values[slot] == hp[probe]
+        probe, slot = probe[good], slot[good]
+        doc = np.searchsorted(first, probe, "right") - 1
+        for x, s, d in zip(probe.tolist(), slot.tolist(), doc.tolist()):
+            a, end, v = int(first[d]), int(first[d + 1]), hp[x]
+            step = (x - a) // part.upper
+            for k in range(max(step - 1, 0), step + 1):
+                window = hp[a + k * part.upper : min(a + (k + 2) * part.upper, end)]
+                if not ((_bin(window) == _bin(v)) & (window < v)).any():
+                    found.update((d, int(i)) for i in own.owner[own.first[s] : own.first[s + 1]])
                     break
     return found
 
@@ -178,7 +194,10 @@ def item_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[i
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, least: float = CONTAINMENT, block_bytes: int = 8 << 20) -> DataFrame:
-    """The rows of docs, all columns, that hold no test item: one pass over the documents for each block of items."""
+    """The rows of docs, all columns, that hold no test item: one pass over the documents for each block of items.
+
+    Null and empty texts hold none; repeated rows stay or go alike; without items, or documents, docs come back as they are.
+    """
     names, out, spark = docs.columns, docs, docs.sparkSession
     schema = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names)
     for block in item_blocks(benchmark, block_bytes):

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
 from corpus_helpers import SF, rows
 
 from swellworks.llm import decontaminate as dc
@@ -52,3 +53,22 @@ def test_planted_and_odd(spark, odd, empty):
     hit = {d for d, *_ in brute(pairs, items)}
     assert {r.doc_id for r in dc.clean(odd, bench).collect()} == {d for d, _ in pairs} - hit
     assert dc.contaminated(empty, bench).count() == 0 and dc.contaminated(df, bench.limit(0)).count() == 0
+
+
+def test_recall_of_signatures():
+    """Items of one shingle are the hardest to find, larger ones share more."""
+    random.seed(9)
+    word = lambda: f"w{random.randrange(100_000)}"
+    for size, least in ((5, 0.999), (6, 1.0), (12, 1.0), (60, 1.0)):
+        texts = [" ".join(word() for _ in range(size)) for _ in range(3000)]
+        items = {i: dc.item_shingles(t) for i, t in enumerate(texts)}
+        docs = [" ".join([*(word() for _ in range(random.randrange(200))), t, *(word() for _ in range(200))]).encode() for t in texts]
+        offs = np.concatenate([[0], np.cumsum([len(d) for d in docs])])
+        found = {f[:2] for f in dc.find(dc.build(items), items, np.frombuffer(b"".join(docs), np.uint8), offs)}
+        assert sum((i, i) in found for i in range(3000)) >= least * 3000, size
+
+
+def test_signatures_are_bounded():
+    text = " ".join(f"w{i}" for i in range(20_000))
+    part = dc.build({0: dc.item_shingles(text)})[0]
+    assert [len(s.values) for s in part.signatures] == [dc.BINS] * dc.PERMUTATIONS
