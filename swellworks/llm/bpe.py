@@ -238,7 +238,7 @@ def read_vocabulary(path: str) -> bytes:
 def encode_texts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>, offsets array<int>): every text's token ids and the byte at which each token starts.
 
-    Null and empty texts give empty arrays; repeated rows stay rows.  The vocabulary file (bounded, read on the
+    Null and empty texts give empty arrays; repeated rows stay rows; an empty table gives an empty result.  The vocabulary file (bounded, read on the
     driver) travels as a broadcast.
     """
     shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
@@ -255,12 +255,16 @@ def encode_texts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
 
 
 def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode every whole text, decode its ids, digest both."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode every whole text, decode its ids, digest both.
+
+    Null and empty texts have no tokens; repeated rows stay rows, a null doc_id too; an empty table gives an empty
+    result; other columns are ignored.
+    """
     return _encoded(docs, vocabulary, False)
 
 
 def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids array<int>): the ids as well."""
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids array<int>): the ids as well; odd rows as in digests."""
     return _encoded(docs, vocabulary, True)
 
 

@@ -12,7 +12,7 @@ def components(edges: DataFrame, ws: Workspace, name: str = "cc") -> DataFrame:
 
     Each round takes the least label among a node's neighbours (partial minima before the shuffle) and then the
     label of that label.  Both joins have a staged side with unique keys; Spark splits the partitions of a node
-    or label that many rows carry.  Ends when the sum of labels is stable; nothing but that sum reaches the driver.
+    or label that many rows carry.  Rows with a null end, loops and repeated rows count for nothing; no edges, no rows.  Ends when the sum of labels is stable; nothing but that sum reaches the driver.
     """
     both = edges.where("a <> b").select("a", "b")
     links = ws.table(both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}_links")

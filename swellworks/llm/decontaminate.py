@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from swellworks.llm.runtime import map_slices, utf8
+from swellworks.llm.runtime import column, extended, map_slices, spare, utf8
 from swellworks.llm.words import LOWER, Words, joined, mix
 
 WORDS, CONTAINMENT = 5, 0.8
@@ -159,8 +159,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = CONTAINME
     count once; an empty table gives an empty result.
     """
     names, spark = keep or ["doc_id"], docs.sparkSession
-    rows = docs.select(*names, F.col("text").alias("_text"))
-    schema = ", ".join(f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in names) + ", item_id long, shared int, item_shingles int, containment double"
+    (own,) = spare(names, "text")
+    rows = docs.select(*map(column, names), F.col("text").alias(own))
+    schema = extended(docs, names, "item_id long, shared int, item_shingles int, containment double")
     out = spark.createDataFrame([], schema)
     for block in item_blocks(benchmark, block_bytes):
         texts = dict(enumerate(block))
@@ -176,7 +177,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = CONTAINME
             cols = [piece.column(k).take(at) for k in range(len(names))]
             return pa.record_batch([*cols, pa.array([ids[f[1]] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.int32()), pa.array([f[3] for f in found], pa.int32()), pa.array([f[2] / f[3] for f in found])], [*names, "item_id", "shared", "item_shingles", "containment"])
 
-        out = out.unionByName(map_slices(rows, "_text", work, schema))
+        out = out.unionByName(map_slices(rows, own, work, schema))
     return out
 
 
@@ -199,7 +200,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, least: float = CONTAINMENT, blo
     Null and empty texts hold none; repeated rows stay or go alike; without items, or documents, docs come back as they are.
     """
     names, out, spark = docs.columns, docs, docs.sparkSession
-    schema = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names)
+    schema = extended(docs, names)
     for block in item_blocks(benchmark, block_bytes):
         items = {n: item_shingles(text) for n, (_, text) in enumerate(block)}
         shared = spark.sparkContext.broadcast((build(items), items))
@@ -207,7 +208,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, least: float = CONTAINMENT, blo
         def work(piece: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
             keep = np.ones(piece.num_rows, bool)
             keep[[f[0] for f in find(*shared.value, *utf8(piece.column(names.index("text"))), least)]] = False
-            return piece.filter(pa.array(keep))
+            return pa.record_batch(piece.filter(pa.array(keep)).columns, names)
 
         out = map_slices(out, "text", work, schema)
     return out

@@ -201,7 +201,7 @@ def licenses(docs: DataFrame) -> DataFrame:
 
     Licenses are distinct and sorted; first_lines has the first line of each.  n_missing and n_extra sum the wording
     differences of all matches.  Null and empty texts have no match; repeated rows stay rows; an empty table gives an
-    empty result; other columns are ignored.
+    empty result; a text of any length is scanned whole; other columns are ignored.
     """
     rows = docs.select("doc_id", F.when(may_hold(F.col("text")), F.col("text")).alias("text"))
 

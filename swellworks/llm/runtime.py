@@ -17,7 +17,8 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 
 BATCH_BYTES = 8 << 20
@@ -154,9 +155,30 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[o[0] : o[-1]], o - o[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def spare(taken: Iterable[str], *wanted: str) -> list[str]:
+    """The wanted names, each with underscores in front until no column has it, in whatever case."""
+    used, out = {t.lower() for t in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name = "_" + name
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def column(name: str) -> Column:
+    """The column of exactly this name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def extended(df: DataFrame, names: Iterable[str], more: str = "") -> StructType:
+    """The columns ``names`` of df as they are, and ``more`` in DDL."""
+    return StructType([df.schema[n] for n in names] + (StructType.fromDDL(more).fields if more else []))
+
+
+def slices(batch: pa.RecordBatch, column: str | int, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that a piece holds about ``limit`` bytes of ``column`` (one row at least, never part of a row)."""
-    _, offs = utf8(batch.column(batch.schema.get_field_index(column)))
+    _, offs = utf8(batch.column(column))
     a = 0
     while a < batch.num_rows:
         b = max(a + 1, int(np.searchsorted(offs, offs[a] + limit, "right")) - 1)
@@ -164,12 +186,18 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator
         a = b
 
 
-def map_slices(df: DataFrame, column: str, work: Callable, schema: str, limit: int = 1 << 20) -> DataFrame:
-    """mapInArrow over bounded pieces: ``work(piece)`` gives a record batch, or None for nothing."""
+def map_slices(df: DataFrame, column: str, work: Callable, schema: str | StructType, limit: int = 1 << 20) -> DataFrame:
+    """mapInArrow over bounded pieces: ``work(piece)`` gives a record batch, or None for nothing.
+
+    Names with dots, which mapInArrow can't resolve, reach ``work`` as numbered ones: it should go by position.
+    """
+    at = df.columns.index(column)
+    if any("." in c or "`" in c for c in df.columns):
+        df = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in slices(batch, column, limit):
+            for piece in slices(batch, at, limit):
                 out = work(piece)
                 if out is not None and out.num_rows:
                     yield out

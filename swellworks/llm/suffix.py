@@ -28,7 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from swellworks.llm.runtime import Workspace, map_slices, ragged, utf8
+from swellworks.llm.runtime import Workspace, column, extended, map_slices, ragged, spare, utf8
 from swellworks.llm.words import _powers, mix, sliding_min
 
 LENGTH, GRAM = 400, 200
@@ -291,13 +291,15 @@ def merged(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return a[head], b[np.append(head[1:], len(a)) - 1] if len(a) else b
 
 
-def _with_spans(docs: DataFrame, names: list[str], length: int, gram: int, group: int) -> DataFrame:
-    """The columns ``names``, _text, and the arrays _start and _size of each document's repeated spans (null without any)."""
+def _with_spans(docs: DataFrame, names: list[str], length: int, gram: int, group: int) -> tuple[DataFrame, str]:
+    """The columns ``names``, the text, and the arrays of starts and sizes of each document's repeated spans (null without
+    any), and the name that the text has there."""
     ws = Workspace(docs.sparkSession, "suffix")
+    text, d, t, start, size = spare(names, "text", "d", "t", "start", "size")
     spans = repeated_spans(docs.select("doc_id", "text"), ws, length, gram, group).groupBy("d", "t").agg(F.collect_list(F.struct("start", "size")).alias("s"))
-    spans = spans.select(F.col("d").alias("_d"), F.col("t").alias("_t"), F.col("s.start").alias("_start"), F.col("s.size").alias("_size"))
-    texts = docs.select(*names, F.col("text").alias("_text"), F.coalesce("doc_id", F.lit(NO_ID)).alias("_d"), F.xxhash64("text").alias("_t"))
-    return texts.join(spans, ["_d", "_t"], "left").select(*names, "_text", "_start", "_size")
+    spans = spans.select(F.col("d").alias(d), F.col("t").alias(t), F.col("s.start").alias(start), F.col("s.size").alias(size))
+    texts = docs.select(*map(column, names), F.col("text").alias(text), F.coalesce("doc_id", F.lit(NO_ID)).alias(d), F.xxhash64("text").alias(t))
+    return texts.join(spans, [d, t], "left").select(*map(column, [*names, text, start, size])), text
 
 
 def _each(piece: pa.RecordBatch, k: int) -> Iterator[tuple[bytes, int, list[bytes]]]:
@@ -325,13 +327,15 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, gro
         total, gone, spans, digest = zip(*rows)
         return pa.record_batch([piece.column(0), *[pa.array(c, pa.int64()) for c in (total, gone, spans)], pa.array(digest, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return map_slices(_with_spans(docs, ["doc_id"], length, gram, group), "_text", work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    rows, own = _with_spans(docs, ["doc_id"], length, gram, group)
+    return map_slices(rows, own, work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def cleaned(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """docs, all columns, with repeated spans cut out of text (null text becomes empty).
 
-    Characters that the end of a span cuts in two are left out as well.
+    Characters that the end of a span cuts in two are left out as well.  Repeated rows are documents of their own, so
+    all they have in common goes; an empty table stays empty; column names may be any.
     """
     names = docs.columns
     k = len(names)
@@ -340,5 +344,5 @@ def cleaned(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int
         text = pa.array(["".join(p.decode("utf-8", "ignore") for p in kept) for _, _, kept in _each(piece, k)], pa.string())
         return pa.record_batch([text if n == "text" else piece.column(i) for i, n in enumerate(names)], names)
 
-    schema = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names)
-    return map_slices(_with_spans(docs, names, length, gram, group), "_text", work, schema)
+    rows, own = _with_spans(docs, names, length, gram, group)
+    return map_slices(rows, own, work, extended(docs, names))

@@ -52,6 +52,9 @@ def test_planted_and_odd(spark, odd, empty):
     assert rows(dc.contaminated(odd, bench), *columns) == brute(pairs, list(dict.fromkeys(items)))
     hit = {d for d, *_ in brute(pairs, items)}
     assert {r.doc_id for r in dc.clean(odd, bench).collect()} == {d for d, _ in pairs} - hit
+    clash = df.select("doc_id", "text", df.text.alias("_text"), df.text.alias("a.b"))
+    assert rows(dc.contaminated(clash, bench, keep=clash.columns), *columns) == brute(docs, list(dict.fromkeys(items)))
+    assert dc.clean(clash, bench).columns == clash.columns
     assert dc.contaminated(empty, bench).count() == 0 and dc.contaminated(df, bench.limit(0)).count() == 0
 
 
