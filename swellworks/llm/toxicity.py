@@ -1,7 +1,8 @@
 """Toxicity: a convolutional text classifier over hashed word embeddings, trained in numpy.
 
-Words (runs of ASCII letters and digits and all non-ASCII bytes, lower-cased) have two hashed embeddings each, which
-are added: words that share a row of one table rarely share one of the other.  Filters of several widths run over the
+Words (runs of ASCII letters and digits and all non-ASCII bytes, lower-cased) have hashed embeddings of the whole word
+and of its first four and seven bytes, which are added: inflected words share their stem's, and words that share a row of
+one table rarely share one of the others.  Filters of several widths run over the
 sequence, a maximum over each document feeds a logistic output, and decision thresholds are calibrated by language.
 A score never sees a label, language, source or id.
 """
@@ -12,22 +13,29 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from swellworks.llm.runtime import map_slices, ragged, utf8
-from swellworks.llm.words import IN_TERM, Words
+from swellworks.llm.runtime import Workspace, column, extended, map_slices, ragged, spare, utf8
+from swellworks.llm.words import IN_TERM, LOWER, Words, lanes, mix, piece_hashes
 
 ROWS = 1 << 16  # of each embedding table
 WIDTHS = (1, 2, 3)
 DIM, FILTERS = 16, 16
+STEMS = (4, 7)  # bytes of a word's beginning, one table each beside the whole word's; seven at most
 PAD = max(WIDTHS) - 1
+CUT = 0.7  # the score that decides
 
 
 def word_rows(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(rows of both tables for every word, documents' first words)."""
-    w = Words(buf, offs, IN_TERM)
-    h = w.hashes(lower=True)
-    return np.stack([h & np.uint64(ROWS - 1), h >> np.uint64(48) & np.uint64(ROWS - 1)], axis=1).astype(np.uint16), w.first
+    """(a row of each table for every word, documents' first words)."""
+    w, low = Words(buf, offs, IN_TERM), LOWER[buf]
+    first, size = lanes(low, w.start, w.end)[0], w.end - w.start
+    rows = [piece_hashes(low, w.start, w.end)]
+    for k in STEMS:
+        bits = np.minimum(size, k).astype(np.uint64) * np.uint64(8)
+        rows.append(mix((first & ((np.uint64(1) << bits) - np.uint64(1))) * np.uint64(8) + np.uint64(k)))
+    return np.stack([h & np.uint64(ROWS - 1) for h in rows], axis=1).astype(np.uint16), w.first
 
 
 def _padded(rows: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -55,11 +63,11 @@ class Model:
     def fresh(cls, seed: int) -> Model:
         rng = np.random.default_rng(seed)
         f = lambda *s: rng.normal(0, 0.3, s).astype(np.float32)
-        return cls(rng.normal(0, 0.05, (2, ROWS, DIM)).astype(np.float32), [f(w, DIM, FILTERS) for w in WIDTHS], [np.zeros(FILTERS, np.float32) for _ in WIDTHS], f(FILTERS * len(WIDTHS)))
+        return cls(rng.normal(0, 0.05, (1 + len(STEMS), ROWS, DIM)).astype(np.float32), [f(w, DIM, FILTERS) for w in WIDTHS], [np.zeros(FILTERS, np.float32) for _ in WIDTHS], f(FILTERS * len(WIDTHS)))
 
     def _slots(self, rows: np.ndarray, at: np.ndarray, total: int) -> np.ndarray:
         x = np.zeros((total, DIM), np.float32)
-        x[at] = self.tables[0][rows[:, 0]] + self.tables[1][rows[:, 1]]
+        x[at] = sum(table[rows[:, t]] for t, table in enumerate(self.tables))
         return x
 
     def _maps(self, x: np.ndarray) -> list[np.ndarray]:
@@ -124,7 +132,7 @@ def _train_batch(model: Model, rows: np.ndarray, first: np.ndarray, y: np.ndarra
         adam.step(f"filter{k}", f, grad + 1e-4 * f)
     moved = dx[at]
     hit = np.flatnonzero(moved.any(1))
-    for t in range(2):
+    for t in range(len(model.tables)):
         uniq, inv = np.unique(rows[hit, t], return_inverse=True)
         grad = np.zeros((len(uniq), DIM), np.float32)
         np.add.at(grad, inv, moved[hit])
@@ -135,7 +143,7 @@ def _associate(model: Model, features: list[np.ndarray], y: np.ndarray) -> None:
     """Start the first dimension of the embeddings from how much oftener a row's words stand in toxic documents of the
     sample than chance would have it (in standard deviations), and let one narrow filter look at it."""
     rate = y.mean()
-    for t in range(2):
+    for t in range(len(model.tables)):
         seen, hit = np.zeros(ROWS), np.zeros(ROWS)
         for f, toxic in zip(features, y):
             rows = np.unique(f[:, t])
@@ -148,9 +156,12 @@ def _associate(model: Model, features: list[np.ndarray], y: np.ndarray) -> None:
     model.out[0] = 1
 
 
-def train(features: list[np.ndarray], labels: np.ndarray, langs: list[str], base_rate: float, steps: int = 1200, batch: int = 32, seed: int = 7) -> Model:
+def train(features: list[np.ndarray], labels: np.ndarray, langs: list[str], base_rate: float, steps: int = 1200, batch: int = 32, seed: int = 7, cut: float = CUT) -> Model:
     """Fit on documents' word rows, ten times over or for ``steps`` batches; a fifth of them sets calibration and thresholds.
 
+    Scores are scaled to probabilities first.  Deciding at half the best F1 gives the best F1 of a calibrated
+    probability, so that point is moved to the score ``cut``.
+
     Without both labels the model scores the base rate for every text.
     """
     model, rng, y = Model.fresh(seed), np.random.default_rng(seed), labels.astype(np.float64)
@@ -188,22 +199,31 @@ def train(features: list[np.ndarray], labels: np.ndarray, langs: list[str], base
         e = w * (q - y[held])
         model.slope = float(np.clip(model.slope - 0.05 * ((e * z).mean() + 0.02 * (model.slope - 1)), 0.2, 5))
         model.shift -= float(0.5 * e.mean())
-    s = 1 / (1 + np.exp(-np.clip(model.slope * z + model.shift, -40, 40)))
-    model.thresholds = {"": _threshold(s, y[held], w)}
+    score = lambda: 1 / (1 + np.exp(-np.clip(model.slope * z + model.shift, -40, 40)))
+    half = min(max(max(_f1(score(), y[held], w)) / 2, 0.1), 0.5)
+    model.shift += float(np.log(cut / (1 - cut)) - np.log(half / (1 - half)))
+    s, model.thresholds = score(), {"": cut}
     names = np.array([langs[i] or "" for i in held])
     for name in sorted(set(names.tolist()) - {""}):
         mine = names == name
         if mine.sum() >= 30 and 5 <= y[held][mine].sum() < mine.sum():
-            model.thresholds[name] = _threshold(s[mine], y[held][mine], w[mine])
+            model.thresholds[name] = _threshold(s[mine], y[held][mine], w[mine], cut)
     return model
 
 
-def _threshold(s: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
-    """The cut of the best weighted F1; in the middle of the widest gap among equals, between 0.2 and 0.8."""
-    grid = np.linspace(0.2, 0.8, 61)
-    f1 = [2 * (w * y * (s >= t)).sum() / max((w * y).sum() + (w * (s >= t)).sum(), 1e-9) for t in grid]
-    best = np.flatnonzero(np.array(f1) >= max(f1) - 1e-9)
-    return float(np.round(grid[best[len(best) // 2]], 2))
+GRID = np.linspace(0.05, 0.95, 91)
+
+
+def _f1(s: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Weighted F1 at every cut of the grid."""
+    return np.array([2 * (w * y * (s >= t)).sum() / max((w * y).sum() + (w * (s >= t)).sum(), 1e-9) for t in GRID])
+
+
+def _threshold(s: np.ndarray, y: np.ndarray, w: np.ndarray, near: float) -> float:
+    """Of the cuts whose F1 is within a hundredth of the best the one nearest to the common cut."""
+    f1 = _f1(s, y, w)
+    best = GRID[f1 >= f1.max() - 0.01]
+    return float(np.round(best[np.abs(best - near).argmin()], 2))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -211,11 +231,12 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1
 
 
-def fit(docs: DataFrame, labels: DataFrame, positives: int = 4000, negatives: int = 6000) -> Model:
-    """Train on a bounded sample: at most ``positives`` and ``negatives`` labelled rows, the least by hash of their id.
+def fit(docs: DataFrame, labels: DataFrame, positives: int = 4000, negatives: int = 6000, most_words: int = 4 << 20) -> Model:
+    """Train on a bounded sample: at most ``positives`` and ``negatives`` labelled rows, the least by hash of their id, and
+    of either only as many as have ``most_words`` words together.
 
-    Null ids and labels don't count; an id with several labels is toxic if one says so; held-out ids never train.
-    Only the sample's word rows come to the driver.
+    Null ids and labels don't count; an id with several labels is toxic if one says so, and one of several texts stands for
+    an id; held-out ids never train.  Only the sample's word rows (six bytes a word) come to the driver, part by part.
     """
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     rate = known.agg(F.avg(F.when(F.col("toxic") == 1, 1.0).otherwise(0.0))).first()[0] or 0.0
@@ -226,35 +247,50 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 4000, negatives: in
 
     def work(piece: pa.RecordBatch) -> pa.RecordBatch:
         words, first = word_rows(*utf8(piece.column(0)))
-        return pa.record_batch([pa.array([words[a:b].tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary()), *piece.columns[1:]], ["words", "lang", "toxic", "doc_id"])
+        n = np.diff(first)
+        out = pa.record_batch([pa.array([words[a:b].tobytes() if b - a <= most_words else b"" for a, b in zip(first[:-1], first[1:])], pa.binary()), *piece.columns[1:], pa.array(n)], ["words", "lang", "toxic", "doc_id", "n"])
+        return out.filter(pa.array(n <= most_words))
 
-    got = sorted(map_slices(rows, "text", work, "words binary, lang string, toxic int, doc_id long").collect(), key=lambda r: (r.doc_id, r.words))
-    features = [np.frombuffer(r.words, np.uint16).reshape(-1, 2) for r in got]
-    return train(features, np.array([r.toxic == 1 for r in got], float), [r.lang for r in got], rate)
+    ws = Workspace(docs.sparkSession, "toxicity")
+    texts = map_slices(rows, "text", work, "words binary, lang string, toxic int, doc_id long, n long")
+    one = ws.table(texts.groupBy("doc_id").agg(F.max(F.struct("words", "lang", "toxic", "n")).alias("r")).select("doc_id", "r.*"), "sample")
+    so_far = F.sum(F.col("n") + 16).over(Window.partitionBy(F.col("toxic") == 1).orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    chosen = one.select("doc_id", so_far.alias("so_far"), "toxic").where(F.col("so_far") <= most_words).select("doc_id")
+    got = [(r.doc_id, np.frombuffer(r.words, np.uint16).reshape(-1, 1 + len(STEMS)), r.toxic == 1, r.lang) for r in one.join(F.broadcast(chosen), "doc_id").toLocalIterator()]
+    got.sort(key=lambda r: r[0])
+    return train([r[1] for r in got], np.array([r[2] for r in got], float), [r[3] for r in got], rate)
 
 
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None, name: str = "score") -> DataFrame:
-    """The columns ``keep`` (default doc_id) and the score under ``name``, for every row's whole text; null text counts as empty."""
+    """The columns ``keep`` (default doc_id) and the score under ``name``, for every row's whole text; null text counts as empty.
+
+    Columns of any name are kept; ``name`` must not be one of them.  Repeated rows stay rows, an empty table stays empty.
+    """
     names = keep or ["doc_id"]
-    rows = docs.select(*names, F.col("text").alias("_text"))
+    (own,) = spare([*names, name], "text")
+    rows = docs.select(*map(column, names), F.col("text").alias(own))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(piece: pa.RecordBatch) -> pa.RecordBatch:
         return pa.record_batch([*piece.columns[:-1], pa.array(shared.value.score_texts(*utf8(piece.column(len(names)))))], [*names, name])
 
-    schema = ", ".join(f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in names) + f", {name} double"
-    return map_slices(rows, "_text", work, schema, 1 << 18)
+    return map_slices(rows, own, work, StructType([*extended(docs, names).fields, StructField(name, DoubleType())]), 1 << 18)
 
 
-def scored(docs: DataFrame, labels: DataFrame, cut: float = 0.7) -> DataFrame:
+def scored(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row.  Repeated rows stay rows; an empty table gives an empty result."""
     out = score(docs, fit(docs, labels))
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs, all columns, whose score stays below their language's threshold."""
+    """The rows of docs, all columns, whose score stays below their language's threshold.
+
+    Without a language, or with one that has no threshold of its own, the common one counts.  Null and empty texts are
+    scored like any other; repeated rows go or stay alike; an empty table stays empty; column names may be any.
+    """
     cuts = F.create_map(*[F.lit(x) for kv in model.thresholds.items() for x in kv])
-    lang = F.coalesce(F.col("lang"), F.lit("")) if "lang" in docs.columns else F.lit("")
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
     cut = F.coalesce(F.try_element_at(cuts, lang), F.lit(model.thresholds[""]))
-    return score(docs, model, docs.columns, "_toxicity").where(F.col("_toxicity") < cut).select(*docs.columns)
+    (own,) = spare(docs.columns, "toxicity")
+    return score(docs, model, docs.columns, own).where(F.col(own) < cut).select(*map(column, docs.columns))
