@@ -31,7 +31,7 @@ def with_header(bulletins: DataFrame, zone: Column | None = None) -> DataFrame:
         "location_str": strip(F.coalesce(first_line(rows, "location"), F.get(rows, F.lit(1)), F.lit(""))),
         "layout": F.when(F.exists(F.slice(rows, 1, 10), lambda l: F.contains(F.lower(l), F.lit("day &"))), "A").otherwise("B"),
     })
-    cycle = r"(\d{8})\s*(\d{2})"
+    cycle = r"(\d{8})\s*(\d{2})"  # fixed value
     out = out.withColumns({
         "cycle_ts": F.coalesce(run_timestamp(matched(F.col("cycle_str"), cycle, 1), matched(F.col("cycle_str"), cycle, 2)), run_timestamp(F.col("run_date"), F.col("run_hour"))),
         "_at": position(F.col("location_str")),

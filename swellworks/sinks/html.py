@@ -8,11 +8,13 @@ from swellworks.functions.measures import date_label, shown_height, time_band, t
 from swellworks.functions.text import escaped, let
 from swellworks.sinks.palette import COLUMNS, COMBINED, GROUPS
 
+#: The markup in this module is fixed: what it must look like, built from columns.
 BORDERS = {"day": "border:1px solid #000;", "night": "border:1px dashed #999;"}
 
 
-def _two(number: Column) -> Column:
-    return F.coalesce(F.format_string("%.2f", number), F.lit(""))
+def _shown(number: Column, form: str) -> Column:
+    """The number in a printf form, blank for null (which printf would show as letters)."""
+    return F.when(number.isNotNull(), F.format_string(form, number)).otherwise("")
 
 
 def _head(cycle: Column, location: Column, tz: Column, unit: Column) -> Column:
@@ -43,10 +45,10 @@ def row_html(row: Column, tz: Column, unit: Column) -> Column:
         out = [F.lit('<tr><td style="font-weight:bold; '), border, F.lit(f' {pad}">'), date_label(local), F.lit('</td><td style="font-weight:'), weight, F.lit("; "), border, F.lit(f' {pad}">'), time_label(local), F.lit("</td>")]
         for i, (_, _, colour) in enumerate(GROUPS):
             s = F.get(row.swells, F.lit(i))
-            out += cell(colour, _two(shown_height(s.hs_ft, unit)))
-            out += cell(colour, F.coalesce(F.format_string("%.1f", s.tp_s), F.lit("")))
+            out += cell(colour, _shown(shown_height(s.hs_ft, unit), "%.2f"))
+            out += cell(colour, _shown(s.tp_s, "%.1f"))
             out += cell(colour, F.coalesce(s.dir_deg.cast("string"), F.lit("")))
-        return F.concat(*out, *cell(COMBINED[2], _two(shown_height(row.combined_ft, unit))), F.lit("</tr>\n"))
+        return F.concat(*out, *cell(COMBINED[2], _shown(shown_height(row.combined_ft, unit), "%.2f")), F.lit("</tr>\n"))
 
     return let(F.from_utc_timestamp(row.ts_utc, tz), made)
 
