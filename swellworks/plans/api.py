@@ -20,11 +20,12 @@ class NoForecast(Exception):
 
 
 def newest_bulletins(spark: SparkSession, root: str, now: datetime.datetime | None = None) -> DataFrame:
-    """All stations' bulletins of the newest run.  The run is one small row; as literals its keys prune folders."""
-    run = source.latest_run(source.files(spark, root), now or datetime.datetime.now(datetime.timezone.utc)).first()
+    """All stations' bulletins of the newest run, found by eight probes; older runs are neither listed nor read."""
+    at = now or datetime.datetime.now(datetime.timezone.utc)
+    run = source.latest_run(source.probed_runs(spark, root, at), at).first()
     if run.run_date is None:
         raise NoForecast("no recent model run found")
-    return source.bulletins(spark, root).where((F.col("run_date") == run.run_date) & (F.col("run_hour") == run.run_hour))
+    return source.run_bulletins(spark, root, run.run_date, run.run_hour)
 
 
 def parsed_station(spark: SparkSession, root: str, station: str | None = None, tz: str | None = None, now: datetime.datetime | None = None) -> DataFrame:
@@ -60,8 +61,13 @@ def export_xlsx(spark: SparkSession, root: str, folder: str, station: str | None
 
 
 def stations(spark: SparkSession, list_path: str | None, table_path: str | None = None, coords_path: str | None = None) -> DataFrame:
-    """The station list (pos, id, name, lat, lon).  Sources that aren't given are empty; no ids at all mean the fallback's."""
+    """The station list (pos, id, name, lat, lon).
+
+    Sources that aren't given or can't be read are empty, and no ids at all mean the fallback's; without a readable
+    table the fallback's names and positions stand in for it.
+    """
     empty = lambda schema: spark.createDataFrame([], schema)
+    list_path, table_path, coords_path = (p if p and source.exists(spark, p) else None for p in (list_path, table_path, coords_path))
     defaults = station_source.fallback(spark)
     order = [(i, s[0]) for i, s in enumerate(station_source.FALLBACK)]
     ids = station_source.id_list(spark, list_path) if list_path else empty("pos int, id string")

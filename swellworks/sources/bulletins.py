@@ -27,11 +27,26 @@ def bulletin_stream(spark: SparkSession, root: str) -> DataFrame:
     return _station(spark.readStream.schema(SCHEMA).text(root, wholetext=True))
 
 
-def files(spark: SparkSession, root: str) -> DataFrame:
-    """SRC2: run_date, run_hour, station_id of the files that exist; contents stay unread."""
-    found = spark.read.format("binaryFile").load(root + "/run_date=*/run_hour=*").select("path")
-    part = lambda p: F.regexp_extract("path", p, 1)
-    return found.select(part(r"run_date=([^/]+)").alias("run_date"), part(r"run_hour=([^/]+)").alias("run_hour"), part(r"gfswave\.([^/]+)\.bull$").alias("station_id"))
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, whatever the store."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def days_before(now: datetime.datetime) -> list[str]:
+    """Run keys of today and yesterday (UTC)."""
+    return [(now - datetime.timedelta(days=d)).strftime("%Y%m%d") for d in (0, 1)]
+
+
+def probed_runs(spark: SparkSession, root: str, now: datetime.datetime, sentinel: str = SENTINEL) -> DataFrame:
+    """SRC2: run_date, run_hour, station_id of the sentinel's files of two days: eight probes, no folder is listed."""
+    runs = [(d, h, sentinel) for d in days_before(now) for h in HOURS if exists(spark, f"{root}/run_date={d}/run_hour={h}/gfswave.{sentinel}.bull")]
+    return spark.createDataFrame(runs, "run_date string, run_hour string, station_id string")
+
+
+def run_bulletins(spark: SparkSession, root: str, run_date: str, run_hour: str) -> DataFrame:
+    """SRC1 of one run: only its folder is listed."""
+    return _station(spark.read.schema(SCHEMA).option("basePath", root).text(f"{root}/run_date={run_date}/run_hour={run_hour}", wholetext=True))
 
 
 def latest_run(existing: DataFrame, now: datetime.datetime, sentinel: str = SENTINEL) -> DataFrame:
@@ -39,8 +54,7 @@ def latest_run(existing: DataFrame, now: datetime.datetime, sentinel: str = SENT
 
     ``existing`` has run_date, run_hour, station_id.  A filter and one partial maximum; runs after ``now`` count.
     """
-    days = [(now - datetime.timedelta(days=d)).strftime("%Y%m%d") for d in (0, 1)]
-    held = existing.where(F.col("run_date").isin(days) & F.col("run_hour").isin(*HOURS) & (F.col("station_id") == sentinel))
+    held = existing.where(F.col("run_date").isin(days_before(now)) & F.col("run_hour").isin(*HOURS) & (F.col("station_id") == sentinel))
     return held.agg(F.max(F.struct("run_date", "run_hour")).alias("r")).select("r.run_date", "r.run_hour")
 
 

@@ -75,9 +75,15 @@ def root(tmp_path_factory):
 
 
 def test_latest_run_and_api(spark, root):
-    run = source.latest_run(source.files(spark, root), NOW).first()
+    run = source.latest_run(source.probed_runs(spark, root, NOW), NOW).first()
     assert (run.run_date, run.run_hour) == ("20250130", "18")  # 00 of the 31st lacks the sentinel
-    assert source.latest_run(source.files(spark, root), NOW + datetime.timedelta(days=3)).first().run_date is None
+    later = NOW + datetime.timedelta(days=3)
+    assert source.latest_run(source.probed_runs(spark, root, later), later).first().run_date is None
+    with pytest.raises(api.NoForecast):
+        api.table_view(spark, root, now=later)
+    one = source.run_bulletins(spark, root, "20250130", "18")
+    assert sorted(r.station_id for r in one.collect()) == ["44025", "51201", "99"] and {(r.run_date, r.run_hour) for r in one.collect()} == {("20250130", "18")}
+    assert len(one.inputFiles()) == 3  # no other run's folder is listed
     view = api.table_view(spark, root, tz="Pacific/Honolulu", now=NOW)
     assert view.columns[5:] == present.GRID and len(present.GRID) == 21
     assert [r.time_local for r in view.collect()] == ["8:00 AM", "11:00 AM", "2:00 PM", "8:00 PM"]
