@@ -72,6 +72,11 @@ def test_zones(spark):
     assert value(spark, zones.position_zone(F.lit(None).cast("double"), F.lit(1.0)).zone) == "UTC"
     options = [r.value for r in zones.zone_options(spark, "UTC").collect()]
     assert options == sorted(options) and "Pacific/Honolulu" in options and "EST" not in options
+    assert len(options) > 400 and {"UTC", "GMT", "US/Hawaii", "Canada/Pacific", "Asia/Kolkata"} <= set(options) and not {"Asia/Calcutta", "US/Samoa"} & set(options)
+    known = {r.name for r in zones.zone_dimension(spark).collect()}
+    assert set(options) <= known and {b[0] for b in zones.BOXES} <= known
+    for lat, lon, zone in ((15.5, 73.0, "Asia/Kolkata"), (-23.9, -46.0, "America/Sao_Paulo"), (-33.0, -72.0, "America/Santiago")):
+        assert value(spark, zones.position_zone(F.lit(lat), F.lit(lon)).zone) == zone
 
 
 def test_station_sources(spark):
@@ -118,3 +123,15 @@ def test_public_station_list(spark, tmp_path):
     assert everything.count() == 10
     array = json.loads(sink.station_array(everything).first().json)
     assert array[0] == {"id": "51201", "name": "Buoy 51201", "lat": 21.67, "lon": -158.12}
+
+
+def test_station_list_without_readable_sources(spark, tmp_path):
+    from swellworks.plans import api
+
+    (tmp_path / "ids.json").write_text('["51201", "7"]')
+    (tmp_path / "bad.json").write_text("{not json")
+    gone, ids, bad = str(tmp_path / "gone"), str(tmp_path / "ids.json"), str(tmp_path / "bad.json")
+    fallback = [(s[0], s[1]) for s in st.FALLBACK]
+    for paths in ((gone, gone, gone), (None, None, None), (bad, None, bad)):
+        assert [(r.id, r.name) for r in api.stations(spark, *paths).orderBy("pos").collect()] == fallback
+    assert [(r.id, r.name, r.lat) for r in api.stations(spark, ids, gone, bad).orderBy("pos").collect()] == [("51201", "Buoy 51201", 21.67)]
