@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from swellworks.functions import measures as m, text as t
-from swellworks.functions.zones import position_zone, with_asked_zone, zone_options as offered_zones
+from swellworks.functions.zones import common_zones, position_zone, with_asked_zone, zone_options as offered_zones
 from swellworks.operators import bulletin, catalogue as stations_of, present, timeline
 from swellworks.plans import compose
 from swellworks.sinks import html, json as json_sink, xlsx
+from swellworks.sinks.palette import COMBINED, GROUPS
 from swellworks.sources import bulletins as source, stations as station_source
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,6 +117,13 @@ def timeline_rebuild(spark, sf_dir):
 _TRIPLES = ", ".join(f"max(CASE WHEN rn = {i} THEN round(value * 3.28084, 2) END) AS s{i}_hs, max(CASE WHEN rn = {i} THEN CAST(event_id % 20 AS DOUBLE) END) AS s{i}_tp, CAST(max(CASE WHEN rn = {i} THEN (event_id % 360 + 180) % 360 END) AS INTEGER) AS s{i}_dir" for i in range(1, 7))
 _HOURS = "SELECT user_id, date_trunc('hour', CAST(ts AS TIMESTAMP)) AS h, value, event_id, row_number() OVER (PARTITION BY user_id, date_trunc('hour', ts) ORDER BY event_id) AS rn FROM events"
 
+#: The table view of composed bulletins in Honolulu time: three header lines stand before the first row.
+_VIEW = f"""
+SELECT strftime(date_trunc('month', min(h) OVER (PARTITION BY user_id)), '%Y%m%d') AS run_date, '00' AS run_hour, CAST(user_id AS VARCHAR) AS station_id,
+  CAST(row_number() OVER (PARTITION BY user_id ORDER BY h) + 2 AS INTEGER) AS pos, h AS ts_utc, {_LOCAL.replace("ts", "h").format("Pacific/Honolulu")} AS local,
+  strftime(local, '%A, %B %-d, %Y') AS date_local, strftime(local, '%-I:%M %p') AS time_local, * EXCLUDE (user_id, h)
+FROM (SELECT user_id, h, {_TRIPLES}, max(CASE WHEN rn = 1 THEN round(value * 3.28084, 2) END) AS combined_hs FROM ({_HOURS}) GROUP BY user_id, h)"""
+
 
 @query(f"SELECT CAST(user_id AS VARCHAR) AS station_id, h AS ts_utc, {_TRIPLES}, max(CASE WHEN rn = 1 THEN round(value * 3.28084, 2) END) AS combined_hs FROM ({_HOURS}) GROUP BY user_id, h")
 def bulletin_roundtrip_a(spark, sf_dir):
@@ -279,7 +287,7 @@ SELECT c_custkey, CASE WHEN lat BETWEEN 18.5 AND 22.6 AND lon BETWEEN -160.6 AND
   WHEN round(lon / 15) = 0 THEN 'Etc/GMT' ELSE 'Etc/GMT' || CASE WHEN lon > 0 THEN '-' ELSE '+' END || CAST(CAST(abs(round(lon / 15)) AS INTEGER) AS VARCHAR) END AS zone
 FROM (SELECT c_custkey, CAST(c_custkey % 30 AS DOUBLE) - 7 AS lat, CAST(c_custkey % 31 AS DOUBLE) - 175 AS lon FROM customer)""")
 def zone_of_position(spark, sf_dir):
-    """Positions around Hawaii, by box or nautical zone."""
+    """Positions around Hawaii, by box or nautical zone (none of the other boxes reaches there)."""
     lat, lon = (F.col("c_custkey") % 30).cast("double") - 7, (F.col("c_custkey") % 31).cast("double") - 175
     return table(spark, sf_dir, "customer").select("c_custkey", position_zone(lat, lon).zone.alias("zone"))
 
@@ -292,7 +300,7 @@ def asked_zone(spark, sf_dir):
     return with_asked_zone(asked, "asked", "zone").select("c_custkey", "zone")
 
 
-@query()
+@query("SELECT name AS value, name AS label, name = 'Pacific/Honolulu' AS selected FROM (SELECT unnest([{}]) AS name)".format(", ".join(f"'{n}'" for n in common_zones())))
 def zone_options(spark, sf_dir):
     """SRC8, O1, SNK6."""
     return offered_zones(spark, "Pacific/Honolulu")
@@ -308,12 +316,28 @@ def html_rows(spark, sf_dir):
     return rows.select("user_id", F.array_join("r.html", "").alias("html"))
 
 
-@query("SELECT CAST(user_id AS VARCHAR) AS station_id, CAST(count(DISTINCT date_trunc('hour', ts)) AS BIGINT) AS data_rows, CAST(count(DISTINCT date_trunc('hour', ts)) * 21 + 3 AS BIGINT) AS cells FROM events GROUP BY user_id")
+def _html_sql() -> str:
+    full = lambda text: f"""<tr><td colspan="21"><strong>{text}</strong></td></tr>\n"""
+    groups = "".join(f'<th colspan="3" style="background-color:#{g[0]}; color:white; text-align:center;">Swell {i}</th>' for i, g in enumerate(GROUPS, 1))
+    subs = "".join(f'<th style="background-color:#{c}; text-align:center;">{label}</th>' for c, label in [(g[1], x) for g in GROUPS for x in ("Hs<br>(ft)", "Tp<br>(s)", "Dir<br>(d)")] + [(COMBINED[1], "Hs<br>(ft)")])
+    combined = f'<th style="background-color:#{COMBINED[0]}; color:white; text-align:center;">Combined</th>'
+    head = '<table class="table table-bordered table-sm">\n' + full("Cycle : @ 00 UTC") + full("Location : #  (21.67N 158.12W)") + full("Time Zone: Pacific/Honolulu")
+    head += f'<tr><th rowspan="2">Date</th><th rowspan="2">Time</th>{groups}{combined}</tr>\n<tr>{subs}</tr>\n'
+    cell = lambda colour, text: f"""'<td style="background-color:#{colour}; text-align:right; font-weight:' || weight || '; ' || border || ' padding:4px 8px;">' || coalesce({text}, '') || '</td>'"""
+    cells = [cell(g[2], x.format(i)) for i, g in enumerate(GROUPS, 1) for x in ("printf('%.2f', s{}_hs)", "printf('%.1f', s{}_tp)", "CAST(s{}_dir AS VARCHAR)")] + [cell(COMBINED[2], "printf('%.2f', combined_hs)")]
+    dates = """'<tr><td style="font-weight:bold; ' || border || ' padding:4px 8px;">' || date_local || '</td><td style="font-weight:' || weight || '; ' || border || ' padding:4px 8px;">' || time_local || '</td>'"""
+    return f"""
+SELECT station_id, replace(replace('{head}', '@', run_date), ' #  (', ' ' || station_id || '  (') || string_agg({dates} || {" || ".join(cells)} || '</tr>\n', '' ORDER BY pos) || '</table>' AS html
+FROM (SELECT *, CASE WHEN x BETWEEN 360 AND 1140 THEN 'bold' ELSE 'normal' END AS weight,
+    CASE WHEN x BETWEEN 360 AND 1140 THEN 'border:1px solid #000;' WHEN x >= 1200 OR x <= 300 THEN 'border:1px dashed #999;' ELSE '' END AS border
+  FROM (SELECT *, hour(local) * 60 + minute(local) AS x FROM ({_VIEW})))
+GROUP BY station_id, run_date"""
+
+
+@query(_html_sql())
 def html_table(spark, sf_dir):
-    """SNK1: whole tables from composed bulletins, counted by their cells."""
-    out = html.table_html(bulletin.parsed(compose.bulletins_a(spark, sf_dir)))
-    cells = F.size(F.split("html", "<td")) - 1
-    return out.select("station_id", ((cells - 3) / 21).cast("bigint").alias("data_rows"), cells.cast("bigint").alias("cells"))
+    """SNK1, S19, S26, C8: whole tables from composed bulletins, to the last character."""
+    return html.table_html(bulletin.parsed(compose.bulletins_a(spark, sf_dir))).select("station_id", "html")
 
 
 @query("SELECT to_json(list({'id': s_name, 'name': s_name, 'lat': CAST(s_suppkey AS INTEGER), 'lon': s_nationkey} ORDER BY s_suppkey)) AS json FROM supplier")
@@ -328,13 +352,16 @@ def hour_offset(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", m.hours_later(F.col("l_shipdate"), F.col("l_quantity") / 4).alias("later"))
 
 
-@query()
+_TEXTS = ["date_local", "time_local", *[f"coalesce(CAST({x} AS VARCHAR), '')" for i in range(1, 7) for x in (f"s{i}_hs / 3.28084::DOUBLE", f"s{i}_tp", f"s{i}_dir")], "coalesce(CAST(combined_hs / 3.28084::DOUBLE AS VARCHAR), '')"]
+
+
+@query(f"SELECT station_id, pos AS row, CAST(unnest(range(21)) AS INTEGER) AS col, unnest([{', '.join(_TEXTS)}]) AS value FROM ({_VIEW})")
 def xlsx_grid(spark, sf_dir):
     """SNK2: the cells of every composed bulletin's workbook."""
     return xlsx.grid(bulletin.forecast(bulletin.parsed(compose.bulletins_a(spark, sf_dir))), "Metric")
 
 
-@query()
+@query(f"SELECT * EXCLUDE (local) FROM ({_VIEW})")
 def table_view(spark, sf_dir):
     """The flagship on this table size."""
     return flagship(spark, sf_dir)
