@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -75,22 +76,43 @@ class Anchors:
         return h[ragged(bounds[self.doc] + self.start, self.count)]
 
 
-def _placed() -> Column:
-    """A place as one number, in order of (doc_id, pos): Spark hash-aggregates minima of numbers but sorts for structs."""
-    return (F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(12,0)") + F.col("pos")).cast("decimal(38,0)")
+@dataclass(frozen=True)
+class Places:
+    """A place (doc_id, word) as one number in that order: Spark hash-aggregates minima of numbers but sorts for structs.
 
+    The number is a long where ids and words of the table fit into 62 bits, else a decimal; both order alike.
+    """
+
+    least: int  # doc_id
+    bits: int  # of a word's number
+    wide: bool
+
+    @classmethod
+    def of(cls, docs: DataFrame) -> tuple[Places, int]:
+        """The places of a table, and its bytes of text."""
+        low, high, most, total = docs.agg(F.min("doc_id"), F.max("doc_id"), F.max(F.octet_length("text")), F.sum(F.octet_length("text"))).first()
+        bits = max(1, (most or 0).bit_length())
+        return cls(low or 0, bits, (high or 0) - (low or 0) >= 1 << 62 - bits), total or 0
+
+    def pack(self) -> Column:
+        if self.wide:
+            return (F.col("doc_id").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(12,0)") + F.col("pos")).cast("decimal(38,0)")
+        return F.shiftleft(F.col("doc_id") - F.lit(self.least), self.bits) + F.col("pos")
 
-def _unplaced(name: str) -> list[Column]:
-    """src_doc and src_pos of a place."""
-    pos = f"CAST(pmod({name}, CAST(4294967296 AS DECIMAL(12,0))) AS BIGINT)"
-    return [F.expr(f"({name} - {pos}) div 4294967296").alias("src_doc"), F.expr(f"CAST({pos} AS INT)").alias("src_pos")]
+    def unpack(self, name: str) -> list[Column]:
+        """src_doc and src_pos of a place."""
+        if self.wide:
+            pos = f"CAST(pmod({name}, CAST(4294967296 AS DECIMAL(12,0))) AS BIGINT)"
+            return [F.expr(f"({name} - {pos}) div 4294967296").alias("src_doc"), F.expr(f"CAST({pos} AS INT)").alias("src_pos")]
+        pos = F.col(name).bitwiseAND(F.lit((1 << self.bits) - 1)).cast("int").alias("src_pos")
+        return [(F.shiftright(name, self.bits) + F.lit(self.least)).alias("src_doc"), pos]
 
 
 def _ids(column: pa.Array, doc: np.ndarray) -> pa.Array:
     return column.take(pa.array(doc))
 
 
-def sources(docs: DataFrame, ws: Workspace, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def sources(docs: DataFrame, ws: Workspace, places: Places, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(doc_id, t, pos, n, src_doc, src_pos): every run of windows that a smaller document has, and its first place there.
 
     ``t`` tells texts of one doc_id apart.  Rows without a doc_id are no source and have none.
@@ -124,17 +146,17 @@ def sources(docs: DataFrame, ws: Workspace, window: int = WINDOW, gram: int = GR
     segments = ws.table(map_slices(found, "text", segment_rows, "doc_id long, t long, h long, seg long, pos int, windows array<long>"), "segments")
     ws.drop("wanted")
     ws.reclaim()
-    first = F.min(_placed()).alias("src")
+    first = F.min(places.pack()).alias("src")
     classes = ws.table(segments.groupBy("h", "seg").agg(first), "classes")
     several = classes.groupBy("h").agg((F.count(F.lit(1)) > 1).alias("several"))
     known = ws.table(classes.join(several, "h"), "known")
-    met = ws.table(segments.join(known.hint("shuffle_hash"), ["h", "seg"]).select("doc_id", "t", "h", "pos", F.col("windows"), "several", *_unplaced("src")).where("doc_id > src_doc OR several"), "met")
+    met = ws.table(segments.join(known.hint("shuffle_hash"), ["h", "seg"]).select("doc_id", "t", "h", "pos", F.col("windows"), "several", *places.unpack("src")).where("doc_id > src_doc OR several"), "met")
     ws.drop("segments", "classes", "known")
     ws.reclaim()
     whole = met.where("doc_id > src_doc").select("doc_id", "t", "pos", F.size("windows").alias("n"), "src_doc", "src_pos")
     # a segment that no smaller document has whole may still share windows with other segments of its anchor
     single = met.where("doc_id = src_doc").select("doc_id", "t", "h", "pos", F.posexplode("windows").alias("i", "w")).select("doc_id", "t", "h", "w", (F.col("pos") + F.col("i")).alias("pos"))
-    by_window = ws.table(single.groupBy("h", "w").agg(first, F.max("doc_id").alias("hi")).select("h", "w", "hi", *_unplaced("src")).where("src_doc < hi").drop("hi"), "by_window")
+    by_window = ws.table(single.groupBy("h", "w").agg(first, F.max("doc_id").alias("hi")).select("h", "w", "hi", *places.unpack("src")).where("src_doc < hi").drop("hi"), "by_window")
     parts = single.join(by_window.hint("shuffle_hash"), ["h", "w"]).where("doc_id > src_doc").select("doc_id", "t", "pos", F.lit(1).alias("n"), "src_doc", "src_pos")
     return whole.unionByName(parts)
 
@@ -224,10 +246,10 @@ def _factored(docs: DataFrame, window: int, work: Callable, schema: str) -> Data
     Rows travel in units of about UNIT_BYTES of text: reference blocks first, the index's answers next, texts last.
     """
     ws = Workspace(docs.sparkSession, "rlz")
-    found = ws.table(sources(docs, ws, window), "sources")
+    places, size = Places.of(docs)
+    found = ws.table(sources(docs, ws, places, window), "sources")
     ws.drop("met", "by_window")
     texts = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     units = max(-(-size // UNIT_BYTES), 16 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     unit = F.pmod(F.xxhash64("doc_id", "t"), F.lit(units)).cast("long").alias("b")
     grouped = found.groupBy("doc_id", "t").agg(F.sort_array(F.collect_set(F.struct("pos", "n", "src_doc", "src_pos"))).alias("r"))

@@ -128,6 +128,9 @@ def test_cleaned_text(spark, odd):
     docs = spark.createDataFrame([(1, "é" * 300 + "tail", "x", 3), (2, "b" + "é" * 300, "y", 4), (3, "alone", None, 5)], "doc_id long, text string, start string, n_bytes int")
     assert rows(suffix.cleaned(docs, 60, 30)) == [(1, "tail", "x", 3), (2, "b", "y", 4), (3, "alone", None, 5)]
     assert suffix.cleaned(odd).columns == odd.columns
+    names = ["text", "_text", "d", "_d", "t", "_t", "size", "_size", "start", "a.b"]
+    clash = docs.select("doc_id", *[docs.text.alias(n) for n in names])
+    assert rows(suffix.cleaned(clash, 60, 30).select("doc_id", "text")) == [(1, "tail"), (2, "b"), (3, "alone")]
 
 
 def test_suffix_common_passage_and_copies(spark):
@@ -157,3 +160,11 @@ def test_long_text_in_pieces(spark, monkeypatch):
     whole = suffix.anchor_runs(buf, np.array([0, len(buf)]), 60, 30)
     windows = lambda r: sorted((int(f) + k, int(h), int(p)) for h, p, f, n in zip(*r[1:5]) for k in range(n))
     assert windows(cut) == windows(whole)
+
+
+def test_rlz_places(spark):
+    """Ids too far apart for one number give what near ones give."""
+    base = " ".join(f"w{i}" for i in range(60))
+    for ids in ((-5, 3, 4), (-(1 << 63), 0, (1 << 63) - 1), (7, 8, 9)):
+        docs = [(i, f"x{k} {base} y{k}") for k, i in enumerate(ids)]
+        assert rows(rlz.removed(spark.createDataFrame(docs, "doc_id long, text string"))) == words_removed(docs)
