@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from swellworks.llm.runtime import Workspace, column, extended, map_slices, ragged, spare, utf8
@@ -254,8 +254,12 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 4000, negatives: in
     ws = Workspace(docs.sparkSession, "toxicity")
     texts = map_slices(rows, "text", work, "words binary, lang string, toxic int, doc_id long, n long")
     one = ws.table(texts.groupBy("doc_id").agg(F.max(F.struct("words", "lang", "toxic", "n")).alias("r")).select("doc_id", "r.*"), "sample")
-    so_far = F.sum(F.col("n") + 16).over(Window.partitionBy(F.col("toxic") == 1).orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    chosen = one.select("doc_id", so_far.alias("so_far"), "toxic").where(F.col("so_far") <= most_words).select("doc_id")
+    held, ids = {True: 0, False: 0}, []
+    for r in sorted(one.select(F.xxhash64("doc_id").alias("h"), "doc_id", "n", "toxic").collect()):  # numbers of the sample's rows
+        held[r.toxic == 1] += r.n + 16
+        if held[r.toxic == 1] <= most_words:
+            ids.append((r.doc_id,))
+    chosen = docs.sparkSession.createDataFrame(ids, "doc_id long")
     got = [(r.doc_id, np.frombuffer(r.words, np.uint16).reshape(-1, 1 + len(STEMS)), r.toxic == 1, r.lang) for r in one.join(F.broadcast(chosen), "doc_id").toLocalIterator()]
     got.sort(key=lambda r: r[0])
     return train([r[1] for r in got], np.array([r[2] for r in got], float), [r[3] for r in got], rate)
