@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from swellworks.llm.components import components
-from swellworks.llm.runtime import Workspace, map_slices, ragged, utf8
+from swellworks.llm.runtime import Workspace, map_slices, ragged, ship, slices, utf8
 from swellworks.llm.words import LOWER, Words, joined, mix
 
 SEED = 42
@@ -122,27 +122,27 @@ def near_duplicates(docs: DataFrame, k: int, radius: int, ws: Workspace | None =
     return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-SEEN, OFTEN, MOST_KEPT = 16, 4, 100_000  # share of documents, count and number of shingles in the table of frequent ones
 PARITY = 8  # longs of parity bits
+BUCKETS, CHUNK = 1 << 20, 1 << 12  # of the table of frequencies, and of a row of it on its way
+UNCOMMON = 64  # documents under a shingle that are all paired
 
 
-def frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles in rising order, level of each): those met OFTEN times or more in one of SEEN documents.
-
-    The table only orders shingles.  Any order finds the same pairs; this one keeps common passages from deciding.
-    """
-    sample = docs.where(f"pmod(xxhash64(doc_id), {SEEN}) = 0").select("doc_id", "text")
-
-    def work(piece: pa.RecordBatch) -> pa.RecordBatch:
-        h, first = shingle_hashes(*utf8(piece.column(1)), k)
-        h, _ = distinct(h, first)
-        return pa.record_batch([pa.array(h.view(np.int64))], ["h"])
-
-    counts = map_slices(sample, "text", work, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= OFTEN)
-    got = counts.orderBy(F.desc("n"), "h").limit(MOST_KEPT).collect()
-    h, n = np.array([r.h for r in got], np.int64).view(np.uint64), np.array([r.n for r in got], np.int64)
-    order = np.argsort(h)
-    return h[order], np.log2(np.maximum(n[order], 1)).astype(np.int8)
+def shingle_numbers(buf: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """What shingle_hashes gives, but for the hash: mixed word hashes, without a Python object a shingle."""
+    w = Words(LOWER[buf], offs)
+    x, counts = w.hashes(), w.counts
+    n = np.where(counts >= k, counts - k + 1, np.minimum(counts, 1))
+    first = np.concatenate([[0], np.cumsum(n)])
+    out = np.zeros(int(first[-1]), np.uint64)
+    full = np.flatnonzero(counts >= k)
+    out[ragged(first[full], n[full])] = w.windows(x, k)[0]
+    few = np.flatnonzero((counts > 0) & (counts < k))
+    acc = counts[few].astype(np.uint64)
+    for j in range(k - 1):
+        on = counts[few] > j
+        acc[on] = mix(acc[on] + x[w.first[few[on]] + j])
+    out[first[few]] = acc
+    return out, first
 
 
 def distinct(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -155,36 +155,75 @@ def distinct(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[new], owner[new]
 
 
+def _bucket(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(44)).astype(np.int64)
+
+
+def frequency_levels(docs: DataFrame, k: int) -> np.ndarray:
+    """How common the shingles of each bucket are in the documents, all of them: 0 up to the mean, one more with every half doubling.
+
+    Tasks count first and send their tables in rows of CHUNK buckets; one table of BUCKETS counts reaches the driver,
+    whatever the input.  It only orders shingles: any order finds the same pairs, this one keeps common passages last.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for piece in slices(batch, 0):
+                total += np.bincount(_bucket(distinct(*shingle_numbers(*utf8(piece.column(0)), k))[0]), minlength=BUCKETS)
+        rows = [(i, r.tobytes()) for i, r in enumerate(total.reshape(-1, CHUNK)) if r.any()]
+        if rows:
+            yield pa.record_batch([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["chunk", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, r in zip(*(c.to_pylist() for c in batch.columns)):
+                sums[i] = sums.get(i, 0) + np.frombuffer(r, np.int64)
+        if sums:
+            yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([r.tobytes() for r in sums.values()], pa.binary())], ["chunk", "counts"])
+
+    ship(docs.sparkSession)
+    counted = docs.select("text").mapInArrow(count, "chunk int, counts binary")
+    total = np.zeros((BUCKETS // CHUNK, CHUNK), np.int64)
+    for r in counted.repartition("chunk").mapInArrow(add, "chunk int, counts binary").collect():
+        total[r.chunk] = np.frombuffer(r.counts, np.int64)
+    total = total.ravel()
+    return np.clip(2 * np.log2(np.maximum(total, 1) / max(total.mean(), 1.0)), 0, 100).astype(np.int8)
+
+
 def sketches(docs: DataFrame, k: int, least: float) -> DataFrame:
-    """(doc_id, words0, words1, n, g0.., tokens array<long>): identity of the word sequence, number of different shingles, parity bits, prefix.
+    """(doc_id, t, words0, words1, n, fp, g0.., tokens array<long>): text's hash, identity of the word sequence, number of
+    different shingles, SimHash fingerprint of these, parity bits, prefix.
 
     Shingles have one order for the whole table (frequent ones last).  Two documents of similarity ``least`` share
     least * n shingles of either, so the first of those stands among the first n - ceil(least * n) + 1 of both: the prefix.
     A shingle toggles one of 64 * PARITY bits, so two documents differ in at least as many shingles as in bits.
     """
-    often, level = frequent(docs, k)
+    levels = docs.sparkSession.sparkContext.broadcast(frequency_levels(docs, k))
 
     def work(piece: pa.RecordBatch) -> pa.RecordBatch:
-        buf, offs = utf8(piece.column(1))
-        h, first = shingle_hashes(buf, offs, k)
-        h, owner = distinct(h, first)
+        buf, offs = utf8(piece.column(2))
+        h, owner = distinct(*shingle_numbers(buf, offs, k))
         n = np.bincount(owner, minlength=piece.num_rows)
+        bounds = np.concatenate([[0], np.cumsum(n)])
+        fp = majority_bits(h, bounds)
         parity = np.zeros(piece.num_rows * PARITY, np.uint64)
         bit = mix(h) % np.uint64(64 * PARITY)
         np.bitwise_xor.at(parity, owner * PARITY + (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
-        if len(often) and len(h):
-            at = np.minimum(np.searchsorted(often, h), len(often) - 1)
-            h = h[np.lexsort((h, np.where(often[at] == h, level[at] + 1, 0), owner))]
-        bounds = np.concatenate([[0], np.cumsum(n)])
+        h = h[np.lexsort((h, levels.value[_bucket(h)], owner))]
         size = np.where(n > 0, n - np.ceil(least * n - 1e-9).astype(np.int64) + 1, 0)
-        w = Words(buf, offs)
-        text = [joined(buf, w.start[a:b], w.end[a:b]) for a, b in zip(w.first[:-1], w.first[1:])]
-        wide = np.frombuffer(b"".join(xxhash.xxh3_128_digest(bytes(LOWER[np.frombuffer(t, np.uint8)])) for t in text), np.int64).reshape(-1, 2)
+        low = LOWER[buf]
+        w = Words(low, offs)
+        text = [joined(low, w.start[a:b], w.end[a:b]) for a, b in zip(w.first[:-1], w.first[1:])]
+        wide = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, text)), np.int64).reshape(-1, 2)
         tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(h[ragged(bounds[:-1], size)].view(np.int64)))
         g = parity.view(np.int64).reshape(-1, PARITY)
-        return pa.record_batch([piece.column(0), pa.array(wide[:, 0]), pa.array(wide[:, 1]), pa.array(n), *(pa.array(g[:, i].copy()) for i in range(PARITY)), tokens], ["doc_id", "words0", "words1", "n", *BITS, "tokens"])
+        columns = [*piece.columns[:2], pa.array(wide[:, 0]), pa.array(wide[:, 1]), pa.array(n), pa.array(fp.view(np.int64)), *(pa.array(g[:, i].copy()) for i in range(PARITY)), tokens]
+        return pa.record_batch(columns, ["doc_id", "t", "words0", "words1", "n", "fp", *BITS, "tokens"])
 
-    return map_slices(docs.select("doc_id", "text"), "text", work, f"doc_id long, words0 long, words1 long, n long, {', '.join(f'{b} long' for b in BITS)}, tokens array<long>")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
+    return map_slices(rows, "text", work, f"doc_id long, t long, words0 long, words1 long, n long, fp long, {', '.join(f'{b} long' for b in BITS)}, tokens array<long>")
 
 
 BITS = [f"g{i}" for i in range(PARITY)]
@@ -197,15 +236,15 @@ def possible(least: float) -> str:
 
 
 def met(reps: DataFrame, least: float, small: int) -> DataFrame:
-    """(a, b, token, n, pos): pairs a, b of up to ``small`` documents under a token; of more, each document a with its token.
+    """(a, b, token, n, pos): pairs a, b of up to ``small`` classes under a token; of more, each class a with its token.
 
     A pair counts where sizes and what is left of both from the token on allow the similarity; at the first shingle that
-    two documents share all they share is left, so no pair is lost.
+    two classes share all they share is left, so no pair is lost.
     """
-    filed = reps.select("doc_id", "n", F.posexplode("tokens").alias("pos", "token"))
-    rows = filed.select("token", "doc_id", (F.col("n") * (1 << 32) + F.col("pos")).alias("at")).repartition("token").sortWithinPartitions("token")
+    filed = reps.select("c", "n", F.posexplode("tokens").alias("pos", "token"))
+    rows = filed.select("token", "c", (F.col("n") * (1 << 32) + F.col("pos")).alias("at")).repartition("token").sortWithinPartitions("token")
 
-    def settle_groups(token: np.ndarray, doc: np.ndarray, at: np.ndarray, large: int | None) -> Iterator[pa.RecordBatch]:
+    def settle_groups(token: np.ndarray, c: np.ndarray, at: np.ndarray, large: int | None) -> Iterator[pa.RecordBatch]:
         head = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         size = np.diff(np.append(head, len(token)))
         group = np.repeat(np.arange(len(head)), size)
@@ -216,15 +255,15 @@ def met(reps: DataFrame, least: float, small: int) -> DataFrame:
         rest = np.flatnonzero(big[group])
         if len(rest):
             none = pa.nulls(len(rest), pa.int64())
-            yield pa.record_batch([pa.array(doc[rest]), none, pa.array(token[rest]), pa.array(n[rest]), pa.array(pos[rest])], ["a", "b", "token", "n", "pos"])
+            yield pa.record_batch([pa.array(c[rest]), none, pa.array(token[rest]), pa.array(n[rest]), pa.array(pos[rest])], ["a", "b", "token", "n", "pos"])
         i, d = np.flatnonzero((~big & (size > 1))[group]), 1
         while len(i):
             i = i[i + d < len(token)]
             i = i[group[i] == group[i + d]]
             j = i + d
             need = least / (1 + least) * (n[i] + n[j]) - 1e-6
-            good = (doc[i] != doc[j]) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need) & (np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]) - 1e-9)
-            x, y = doc[i[good]], doc[j[good]]
+            good = (c[i] != c[j]) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need) & (np.minimum(n[i], n[j]) >= least * np.maximum(n[i], n[j]) - 1e-9)
+            x, y = c[i[good]], c[j[good]]
             if len(x):
                 none = pa.nulls(len(x), pa.int64())
                 yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), none, none, none], ["a", "b", "token", "n", "pos"])
@@ -251,13 +290,13 @@ def met(reps: DataFrame, least: float, small: int) -> DataFrame:
     return rows.mapInArrow(work, "a long, b long, token long, n long, pos long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, k: int, least: float) -> DataFrame:
-    """The pairs whose k-word shingle sets have a Jaccard similarity of at least ``least``."""
-    texts = docs.select("doc_id", "text")
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b").select("a", "b", "x", "y")
+def verified(pairs: DataFrame, texts: DataFrame, k: int, least: float) -> DataFrame:
+    """The pairs (a, b) of classes whose k-word shingle sets have a Jaccard similarity of at least ``least``; texts has c and text."""
+    side = lambda c, text: texts.select(F.col("c").alias(c), F.col("text").alias(text))
+    both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
 
     def work(piece: pa.RecordBatch) -> pa.RecordBatch | None:
-        (hx, fx), (hy, fy) = (shingle_hashes(*utf8(piece.column(c)), k) for c in (2, 3))
+        (hx, fx), (hy, fy) = (shingle_numbers(*utf8(piece.column(c)), k) for c in (2, 3))
         good = []
         for i in range(piece.num_rows):
             x, y = np.unique(hx[fx[i] : fx[i + 1]]), np.unique(hy[fy[i] : fy[i + 1]])
@@ -268,51 +307,69 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, least: float) -> DataFra
     return map_slices(both, "x", work, "a long, b long")
 
 
+def fingerprint_pairs(reps: DataFrame, ws: Workspace, radius: int = 2) -> DataFrame:
+    """(a, b): classes whose fingerprints covering hashing links, enough to connect all within ``radius`` bits."""
+    prints = ws.table(reps.groupBy("fp").agg(F.min("c").alias("rep")), "fingerprints")
+    equal = reps.join(prints, "fp").where("c <> rep").select(F.col("rep").alias("a"), F.col("c").alias("b"))
+    near = links(prints, radius, ws, name="prints").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return equal.union(near)
+
+
 def similar_edges(reps: DataFrame, docs: DataFrame, k: int, least: float, small: int, ws: Workspace) -> DataFrame:
-    """(a, b): similar documents, enough of them to connect all similar pairs.  ``reps`` has doc_id, n, g0.., tokens.
+    """(a, b): similar classes, enough of them to connect all similar pairs.  ``reps`` has c, doc_id, t, n, fp, g0.., tokens.
 
-    Up to ``small`` documents under a token are all paired.  In a larger group each document meets one of them first,
-    that with most such tokens; then every document that isn't connected with that one meets all others it isn't connected with.
+    Three sources of candidates: fingerprints that covering hashing links; up to ``small`` classes under a token of
+    their prefixes, all paired; and in a larger group a hub, the class with most such tokens, that each of the group meets.
+    Then every class that isn't connected with its group's hub meets all of the group that it isn't connected with.
     """
+    held = docs.select("doc_id", F.xxhash64("text").alias("t"), "text").join(reps.select("c", "doc_id", "t"), ["doc_id", "t"])
+    texts = held.dropDuplicates(["doc_id", "t"]).select("c", "text")
     under = ws.table(met(reps, least, small), "met")
-    bits = reps.select("doc_id", "n", *BITS)
-    side = lambda x: F.struct("doc_id", "n", *BITS).alias(x)
-    pairs = under.where("b IS NOT NULL").select("a", "b").distinct()
-    few = (
-        pairs.join(bits.select(F.col("doc_id").alias("a"), side("x")), "a").join(bits.select(F.col("doc_id").alias("b"), side("y")), "b")
-        .where(possible(least)).select("a", "b")
-    )
-    rows = under.where("token IS NOT NULL").select("token", "pos", F.col("a").alias("doc_id"))
-    many = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("tokens"))
-    large = ws.table(rows.join(bits.join(many, "doc_id"), "doc_id"), "large")
-    hubs = ws.table(large.groupBy("token").agg(F.min_by(side("x"), F.struct(-F.col("tokens"), "doc_id")).alias("x")), "hubs")
-    ends = [F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")]
-    star = large.select("token", side("y")).join(hubs, "token").where("x.doc_id <> y.doc_id AND " + possible(least)).select(*ends)
-    near = ws.table(verified(ws.table(few.union(star).distinct(), "pairs"), docs, k, least), "near")
+    bits = reps.select("c", "n", *BITS)
+    side = lambda x: F.struct("c", "n", *BITS).alias(x)
+    ends = [F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")]
+
+    def sieved(pairs: DataFrame) -> DataFrame:
+        known = pairs.join(bits.select(F.col("c").alias("a"), side("x")), "a").join(bits.select(F.col("c").alias("b"), side("y")), "b")
+        return known.where(possible(least)).select("a", "b")
+
+    few = sieved(under.where("b IS NOT NULL").select("a", "b").union(fingerprint_pairs(reps, ws)).distinct())
+    rows = under.where("token IS NOT NULL").select("token", "pos", F.col("a").alias("c"))
+    many = rows.groupBy("c").agg(F.count(F.lit(1)).alias("tokens"))
+    large = ws.table(rows.join(bits.join(many, "c"), "c"), "large")
+    hubs = ws.table(large.groupBy("token").agg(F.min_by(side("x"), F.struct(-F.col("tokens"), "c")).alias("x")), "hubs")
+    star = large.select("token", side("y")).join(hubs, "token").where("x.c <> y.c AND " + possible(least)).select(*ends)
+    near = ws.table(verified(ws.table(few.union(star).distinct(), "pairs"), texts, k, least), "near")
     ws.drop("met", "pairs")
     labels = components(near, ws, "first")
-    member = large.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    member = ws.table(member.select("token", F.struct("doc_id", "n", "pos", "label", *BITS).alias("y")), "members")
-    of_hub = member.join(hubs, "token").where("y.doc_id = x.doc_id").groupBy("token").agg(F.min("y.label").alias("main"))
-    apart = member.join(of_hub, "token").where("y.label <> main").select("token", F.col("y").alias("x"))
+    label = F.coalesce("label", "c").alias("label")
+    member = large.join(labels.withColumnRenamed("node", "c"), "c", "left")
+    member = ws.table(member.select("token", F.struct("c", "n", "pos", label, *BITS).alias("y")), "members")
+    mains = hubs.select("token", F.col("x.c").alias("c")).join(labels.withColumnRenamed("node", "c"), "c", "left").select("token", label.alias("main"))
+    apart = ws.table(member.join(ws.table(mains, "mains"), "token").where("y.label <> main").select("token", F.col("y").alias("x")), "apart")
     left = f"least(x.n - x.pos, y.n - y.pos) >= {least / (1 + least)!r} * (x.n + y.n) - 1e-6"
-    rest = apart.join(member, "token").where(f"x.label <> y.label AND {left} AND {possible(least)}").select(*ends).distinct()
-    return near.union(ws.table(verified(ws.table(rest, "rest"), docs, k, least), "far"))
+    rest = apart.join(member, "token").where(f"x.label <> y.label AND {left} AND {possible(least)}").select(*ends)
+    return near.union(ws.table(verified(ws.table(rest.distinct(), "rest"), texts, k, least), "far"))
 
 
-def similar_groups(docs: DataFrame, k: int = 5, least: float = 0.8, ws: Workspace | None = None, small: int = 64) -> DataFrame:
-    """(doc_id, group_id): the smallest doc_id reachable over pairs of documents with a shingle similarity of at least ``least``.
+def similar_groups(docs: DataFrame, k: int = 5, least: float = 0.8, ws: Workspace | None = None, small: int = UNCOMMON) -> DataFrame:
+    """(doc_id, t, component, group_id): ``component`` joins texts over pairs with a shingle similarity of at least ``least``,
+    group_id is the smallest doc_id in it; ``t`` (xxhash64 of the text) tells texts of one doc_id apart.
 
-    Documents with the same words form a class first; one of them is compared.  Prefixes of the shingle sets make the
-    candidates, without exception; exact shingle sets decide.  ``small`` changes the work, not the groups.
-    Rows without a doc_id are left out; repeated rows count once; an empty table gives an empty result.
+    Texts with the same words form a class first; one of them is compared.  Fingerprints find close pairs, prefixes of the
+    shingle sets all others without exception; exact shingle sets decide.  ``small`` changes the work, not the groups.
+    Rows without a doc_id are left out; null and empty texts are one class; repeated rows count once; an empty table
+    gives an empty result.
     """
     ws = ws or Workspace(docs.sparkSession, "similar")
-    texts = docs.where("doc_id IS NOT NULL")
+    texts = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
     every = ws.table(sketches(texts, k, least), "sketches")
-    classes = ws.table(every.groupBy("words0", "words1").agg(F.min(F.struct("doc_id", "n", *BITS, "tokens")).alias("r")).select("words0", "words1", "r.*"), "classes")
+    classes = every.groupBy("words0", "words1").agg(F.min(F.struct("doc_id", "t", "n", "fp", *BITS, "tokens")).alias("r"))
+    classes = ws.table(classes.select(F.xxhash64("words0", "words1").alias("c"), "words0", "words1", "r.*"), "classes")
     edges = ws.table(similar_edges(classes, texts, k, least, small, ws), "edges")
     ws.reclaim()
-    labels = components(edges, ws)
-    known = ws.table(classes.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("words0", "words1", F.coalesce("label", "doc_id").alias("group_id")), "known")
-    return every.select("doc_id", "words0", "words1").join(known, ["words0", "words1"]).groupBy("doc_id").agg(F.min("group_id").alias("group_id"))
+    labels = components(edges, ws).withColumnRenamed("node", "c")
+    known = ws.table(classes.join(labels, "c", "left").select("words0", "words1", "doc_id", F.coalesce("label", "c").alias("component")), "known")
+    least_id = ws.table(known.groupBy("component").agg(F.min("doc_id").alias("group_id")), "group_ids")
+    own = every.select("doc_id", "t", "words0", "words1").distinct().join(known.drop("doc_id"), ["words0", "words1"])
+    return own.join(least_id, "component").select("doc_id", "t", "component", "group_id")
