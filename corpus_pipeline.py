@@ -1,8 +1,9 @@
 """The corpus pipeline: toxicity, near-dedup, repeats, decontamination, tokens.
 
 Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns
-of documents.  Null texts count as empty, rows without a doc_id pass the near-dedup stage, and an empty table gives an
-empty result.
+of documents, whatever their names.  Null texts count as empty (and are near-duplicates of each other), rows without a
+doc_id pass the near-dedup stage, rows that share a doc_id are documents of their own, and an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from swellworks.llm import bpe, decontaminate, simhash, suffix, toxicity
-from swellworks.llm.runtime import Workspace
+from swellworks.llm.runtime import Workspace, column, spare
 
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Bytes of a repeated passage: below 50 words of prose, above any single line that documents share by chance.
@@ -24,11 +25,18 @@ def nontoxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest doc_id, of each group of near-duplicates (five words, similarity 0.8)."""
+    """One document, the smallest doc_id, of each group of near-duplicates (five words, similarity 0.8).
+
+    Of a group's texts with that doc_id the one of the least hash stays, of equal rows one.
+    """
     ws = Workspace(spark, "near_dedup")
-    groups = ws.table(simhash.similar_groups(docs, k=5, least=0.8, ws=ws), "groups")
-    kept = groups.where("doc_id = group_id").select("doc_id")
-    return docs.where("doc_id IS NOT NULL").join(kept, "doc_id").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    groups = simhash.similar_groups(docs, k=5, least=0.8, ws=ws)
+    kept = ws.table(groups.groupBy("component").agg(F.min(F.struct("doc_id", "t")).alias("r")).select("r.*"), "kept")
+    d, t = spare(docs.columns, "doc", "t")
+    kept = kept.select(F.col("doc_id").alias(d), F.col("t").alias(t))
+    named = docs.where("doc_id IS NOT NULL").withColumns({d: F.col("doc_id"), t: F.xxhash64("text")})
+    columns = [column(c) for c in docs.columns]
+    return named.join(kept, [d, t]).dropDuplicates([d, t]).select(*columns).unionAll(docs.where("doc_id IS NULL").select(*columns))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
