@@ -25,3 +25,23 @@ def test_odd_and_empty(spark, odd, empty):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             out = stage(spark, docs, SF)
             assert out.columns == docs.columns and out.count() <= docs.count()
+
+
+def test_texts_of_one_id_are_documents(spark):
+    from corpus_pipeline import near_dedup
+
+    text = lambda a, n=60: " ".join(f"{a}{i}" for i in range(n))
+    rows = [(5, text("a")), (5, text("b")), (6, text("a") + " more"), (6, text("c")), (7, text("c")), (7, text("c")), (8, None), (9, ""), (None, text("a")), (10, text("b", 59))]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, t string, doc int")
+    out = near_dedup(spark, docs, SF)
+    assert out.columns == docs.columns
+    assert sorted([(r.doc_id, r.text) for r in out.collect()], key=repr) == sorted([(5, text("a")), (5, text("b")), (6, text("c")), (8, None), (None, text("a"))], key=repr)
+
+
+def test_any_column_name(spark, documents):
+    names = ["_text", "d", "_d", "t", "doc", "size", "_toxicity", "toxicity", "score", "component", "a.b"]
+    docs = documents.limit(60).select("*", *[documents.lang.alias(n) for n in names])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and out.count() > 0
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == 60
