@@ -40,14 +40,16 @@ TEMPLATES: dict[str, str] = {
 #: Words of which a candidate block has one, lower case.
 TRIGGERS = ("licens", "licenc", "copyright", "redistribut", "hereby granted", "public domain", "creative commons", "cc by", "source code form")
 _TRIGGER = re.compile("|".join(map(re.escape, TRIGGERS)))
-_WORD = re.compile(r"\w+(?:[-.]\w+)*")
+_TURN = r"-[ \t]*\r?\n[\s#*/;]*"  # a hyphen at a line's end, and the comment signs before the next
+_WORD = re.compile(rf"\w+(?:(?:[-.]|{_TURN})\w+)*")
+_TURN = re.compile(_TURN)
 _VERSION = re.compile(r"\d+(?:\.\d+)*")
 MAX_DIFFERENCE = 0.2  # of a template's words
 
 
 def words(text: str) -> list[str]:
-    """Lower-case words; inner dots and hyphens count (2.0, BY-NC)."""
-    return _WORD.findall(text.lower())
+    """Lower-case words; inner dots and hyphens count (2.0, BY-NC), over a line's end as well."""
+    return [_TURN.sub("-", w) for w in _WORD.findall(text.lower())]
 
 
 @dataclass(frozen=True)
@@ -88,7 +90,7 @@ def blocks(text: str) -> list[tuple[int, list[str], list[int]]]:
     """
     low = text.lower()
     spans = [m.span() for m in _WORD.finditer(low)]
-    w = [low[a:b] for a, b in spans]
+    w = [_TURN.sub("-", low[a:b]) for a, b in spans]
     starts = np.cumsum([0] + [len(x) + 1 for x in w])
     hits = np.searchsorted(starts, [m.start() for m in _TRIGGER.finditer(" ".join(w))], "right") - 1
     ends = np.array([i for i, c in enumerate(low) if c == "\n"], np.int64)

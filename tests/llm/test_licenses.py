@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import textwrap
+
 from corpus_helpers import rows
 
 from swellworks.llm import licenses as lic
@@ -126,3 +128,14 @@ def test_all_notices_of_a_block_are_confirmed():
         assert [m.license for m in lic.scan(sep.join(lic.TEMPLATES[n] for n in short))] == short
     assert [m.license for m in lic.scan("\n".join(lic.TEMPLATES.values()))] == list(lic.TEMPLATES)
     assert [m.license for m in lic.scan("\n\n".join(PUBLISHED.values()))] == list(PUBLISHED)
+
+
+def test_every_template_at_every_width():
+    """Wrapped at 30 to 100 columns under a copyright line, hyphens at line ends too: found, and no word is missing."""
+    for name, text in lic.TEMPLATES.items():
+        for width in range(30, 101):
+            lines = textwrap.wrap(text, width, break_long_words=False)
+            for sign in ("", " * "):
+                body = "\n".join(sign + x for x in ["Copyright (c) 2020 Ann Other", "", *lines])
+                got = lic.scan(f"Words before.\n{body}\nWords after.\n")
+                assert [(m.license, m.missing) for m in got] == [(name, ())], (name, width, sign)
