@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from swellworks.llm.piece_cache import PieceCache
 from swellworks.llm.runtime import RangeReader, Workspace, map_slices, put_file, ragged, slices, utf8
@@ -226,49 +226,66 @@ def frequency_ranks(tokens: DataFrame, vocabulary_size: int, kind: str = "<u4")
     return rank
 
 
-SHARDS = "shard int, uri string, documents long, ids long"
+SHARDS = "part int, seq int, uri string, documents long, ids long"
+GROUP = 256  # parts whose running total one task makes
 
 
-def write_shards(tokens: DataFrame, rank: np.ndarray, ws: Workspace, shards: int, kind: str = "<u4") -> DataFrame:
-    """Deal documents out by ascending doc_id, write a shard file from each partition, list the files.
+def write_shards(tokens: DataFrame, rank: np.ndarray, ws: Workspace, parts: int, kind: str = "<u4", target: int = 16 << 20) -> DataFrame:
+    """Deal documents out by ascending doc_id, write shard files of about ``target`` bytes from each part, list the files.
 
-    Partition and file have the same number and the order within is total (doc_id, then ids), so a task that
-    runs again writes the same file again.
+    The order is total (doc_id, hash of the ids, row of the staged table), also among rows that share a doc_id, which may
+    lie in several parts.  Part and file are numbered, so a task that runs again writes the same files again.
     """
     shared, folder = tokens.sparkSession.sparkContext.broadcast(rank.astype(kind)), ws.path("shards")
-    dealt = tokens.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "ids").withColumn("shard", F.spark_partition_id())
+    order = ["doc_id", "tie", "row"]
+    keyed = tokens.withColumns({"tie": F.xxhash64("ids"), "row": F.monotonically_increasing_id()})
+    dealt = keyed.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "ids", F.spark_partition_id().alias("part"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, counts, blocks, shard = [], [], [], None
+        docs, counts, blocks, held, seq, part = [], [], [], 0, 0, None
+
+        def close() -> pa.RecordBatch:
+            nonlocal docs, counts, blocks, held, seq
+            uri = put_file(folder, f"tokens-{part:06d}-{seq:04d}.rvl", shard_bytes(docs, counts, blocks))
+            row = [part, seq, uri, len(docs), sum(counts)]
+            docs, counts, blocks, held, seq = [], [], [], 0, seq + 1
+            return pa.record_batch([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()))], ["part", "seq", "uri", "documents", "ids"])
+
         for b in batches:
             for piece in slices(b, "ids"):
                 buf, offs = utf8(piece.column(1))
                 first = offs // np.dtype(kind).itemsize
+                part = piece.column(2)[0].as_py()
                 docs += piece.column(0).to_pylist()
                 counts += np.diff(first).tolist()
                 blocks += pack(shared.value[buf.view(kind)], first)
-                shard = piece.column(2)[0].as_py()
-        if shard is not None:
-            uri = put_file(folder, f"tokens-{shard:06d}.rvl", shard_bytes(docs, counts, blocks))
-            yield pa.record_batch([pa.array([shard], pa.int32()), pa.array([uri]), pa.array([len(docs)], pa.int64()), pa.array([sum(counts)], pa.int64())], ["shard", "uri", "documents", "ids"])
+                held += len(buf)
+                if held >= target:
+                    yield close()
+        if docs:
+            yield close()
 
-    listed = dealt.mapInArrow(write, SHARDS)
-    return ws.table(listed, "shard_list")
+    return ws.table(dealt.mapInArrow(write, SHARDS), "shard_list")
 
 
-def read_shards(listed: DataFrame, rank: np.ndarray) -> DataFrame:
-    """(doc_id, start, n_tokens, ids binary) from the files; start counts ids over all shards.
+def with_bases(listed: DataFrame) -> DataFrame:
+    """The list of files with ``base``, the ids in all files before: a running total within GROUP parts, and one number a
+    group of parts on the driver."""
+    grouped = listed.withColumn("part_group", F.floor(F.col("part") / GROUP))
+    sums = sorted(tuple(r) for r in grouped.groupBy("part_group").agg(F.sum("ids")).collect())
+    starts = np.cumsum([0, *(n for _, n in sums)]).tolist()
+    before = listed.sparkSession.createDataFrame([(g, s) for (g, _), s in zip(sums, starts)], "part_group long, start long")
+    earlier = F.coalesce(F.sum("ids").over(Window.partitionBy("part_group").orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return grouped.withColumn("earlier", earlier).join(F.broadcast(before), "part_group").select("part", "seq", "uri", (F.col("start") + F.col("earlier")).alias("base"))
 
-    ``listed`` has one row a file; its running total is a few numbers on the driver.
-    """
-    spark = listed.sparkSession
-    files = listed.orderBy("shard").collect()
-    starts = np.concatenate([[0], np.cumsum([f.ids for f in files])]).astype(int).tolist()
+
+def read_shards(listed: DataFrame, rank: np.ndarray, ws: Workspace) -> DataFrame:
+    """(doc_id, start, n_tokens, ids binary) from the files; start counts ids over all of them."""
     back = np.empty(len(rank), "<u4")
     back[rank] = np.arange(len(rank))
-    shared = spark.sparkContext.broadcast(back)
-    rows = [(f.uri, s) for f, s in zip(files, starts)]
-    work_list = spark.createDataFrame(rows, "uri string, base long").repartition(max(1, len(rows)))
+    shared = listed.sparkSession.sparkContext.broadcast(back)
+    known = ws.table(with_bases(listed), "bases")
+    work_list = known.repartitionByRange(max(1, known.count()), "part", "seq").select("uri", "base")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -293,8 +310,9 @@ def vocabulary_size(data: bytes) -> int:
 def encode_corpus(docs: DataFrame, vocabulary: str, end_id: int = 2, shard_bytes_target: int = 16 << 20) -> DataFrame:
     """Encode all documents, write the ranked token files in ascending doc_id order and read them back.
 
-    Null text counts as empty (the end id alone); repeated rows stay rows, equal doc_ids ordered by their ids; an
-    empty table gives an empty result; other columns are ignored.  The number of shards follows the ids counted.
+    Null text counts as empty (the end id alone); repeated rows stay rows, those of one doc_id in an order of their own that
+    doesn't change from run to run; an empty table gives an empty result; other columns are ignored.  The number of parts
+    follows the ids counted.
     """
     ws = Workspace(docs.sparkSession, "tokens")
     with open(vocabulary, "rb") as f:
@@ -304,8 +322,8 @@ def encode_corpus(docs: DataFrame, vocabulary: str, end_id: int = 2, shard_bytes
     tokens = ws.table(tokenize(docs, data, end_id, kind), "ids")
     rank = frequency_ranks(tokens, size, kind)
     total = tokens.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
-    listed = write_shards(tokens, rank, ws, max(1, -(-total // shard_bytes_target)), kind)
-    out = read_shards(listed, rank)
+    listed = write_shards(tokens, rank, ws, max(1, -(-total // shard_bytes_target)), kind, shard_bytes_target)
+    out = read_shards(listed, rank, ws)
     ws.drop("ids")
     ws.reclaim()
     return out

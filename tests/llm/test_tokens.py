@@ -119,3 +119,16 @@ def test_bpe_queries(documents, odd, empty):
     data = odd.where("doc_id = 6").first().text.encode()
     own = bpe.Ranks(bpe.read_vocabulary(RANKS))
     assert own.decode(np.array(one.ids[3:])).tobytes() == data[one.offsets[3] :]
+
+
+def test_token_files_of_a_common_id(spark, monkeypatch):
+    """Most rows share a doc_id: they lie in several parts and files, and starts run on over all."""
+    monkeypatch.setattr(token_files, "GROUP", 2)
+    made = [(7, f"some words {i % 50} here") for i in range(400)] + [(i, "x" * (i % 9)) for i in range(30)]
+    df = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    out = token_files.encode_corpus(df, WORDS, shard_bytes_target=200).collect()
+    lib = library()
+    assert sorted((r.doc_id, r.ids) for r in out) == sorted((i, np.array([*lib.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes()) for i, t in made)
+    out.sort(key=lambda r: r.start)
+    assert [r.start for r in out] == np.cumsum([0, *(r.n_tokens for r in out)])[:-1].tolist()
+    assert [r.doc_id for r in out] == sorted(r.doc_id for r in out)
