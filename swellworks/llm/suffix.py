@@ -80,18 +80,23 @@ def _runs(buf: np.ndarray, offs: np.ndarray, length: int, gram: int, base: int)
     return doc, g[where], where - offs[doc] + base, first - offs[doc] + base, count, seg
 
 
-def marks(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(whether a row is the first with its keys, whether it is one of several)."""
-    order = np.lexsort(keys[::-1])
+def marks(keys: list[np.ndarray], place: list[np.ndarray], later: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(whether a row is the first by place with its keys, whether it is one of several or, if ``later``, has a later place)."""
+    order = np.lexsort([*place[::-1], *keys[::-1]])
+    same = lambda columns: np.logical_and.reduce([c[order][1:] == c[order][:-1] for c in columns])
     new = np.ones(len(order), bool)
-    for k in keys:
-        v = k[order]
-        new[1:] &= v[1:] == v[:-1]
-    new[1:] = ~new[1:]
+    new[1:] = ~same(keys)
     head = np.flatnonzero(new)
-    several = np.repeat(np.diff(np.append(head, len(order))) > 1, np.diff(np.append(head, len(order))))
+    size = np.diff(np.append(head, len(order)))
     first, twice = np.zeros(len(order), bool), np.zeros(len(order), bool)
-    first[order[head]], twice[order] = True, several
+    first[order[head]] = True
+    if later:
+        moved = np.ones(len(order), bool)
+        moved[1:] = ~same([*keys, *place])
+        step = np.cumsum(moved)
+        twice[order] = step > np.repeat(step[head], size)
+    else:
+        twice[order] = np.repeat(size > 1, size)
     return first, twice
 
 
@@ -121,10 +126,11 @@ def intervals(lcp: list[int]) -> Iterator[tuple[int, int, int]]:
             stack.append((v, left))
 
 
-def repeats(before: list[bytes], behind: list[bytes], need: int) -> Iterator[tuple[int, int, int]]:
+def repeats(before: list[bytes], behind: list[bytes], need: int, later: bool = False) -> Iterator[tuple[int, int, int]]:
     """(occurrence, l, r) for occurrences of one anchor: l bytes before and r behind it, l + r >= need, stand elsewhere too.
 
-    ``before`` is read backwards from the anchor.  For each interval every occurrence has its longest l.
+    ``before`` is read backwards from the anchor.  For each interval every occurrence has its longest l, with any other
+    or, if ``later``, with any earlier one: along the order by left text the nearest on either side shares most.
     """
     order = sorted(range(len(behind)), key=behind.__getitem__)
     by_left = sorted(range(len(before)), key=before.__getitem__)
@@ -135,20 +141,27 @@ def repeats(before: list[bytes], behind: list[bytes], need: int) -> Iterator[tup
         members = sorted(order[a : b + 1], key=rank.__getitem__)
         shared = _common(before, members)
         for k, x in enumerate(members):
-            best = max(shared[k - 1] if k else -1, shared[k] if k < len(shared) else -1)
-            if best >= 0 and best + r >= need:
+            best = -1
+            for step in (-1, 1):
+                i, common = k + step, 1 << 30
+                while 0 <= i < len(members) and (common := min(common, shared[min(i, i - step)])) + r >= need:
+                    if not later or members[i] < x:
+                        best = max(best, common)
+                        break
+                    i += step
+            if best >= 0:
                 yield x, best, r
 
 
-def _group_spans(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    """(d, t, start, size) from segments of anchors with few different segments: sorted by anchor, one anchor at a time."""
+def _group_spans(rows: DataFrame, length: int, gram: int, later: bool) -> DataFrame:
+    """(d, t, start, size) from segments of anchors with few different segments: sorted by anchor and place, one anchor at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, now, out = [], None, []
 
         def settle() -> None:
             if len(held) > 1:
-                for x, left, right in repeats([r[4] for r in held], [r[5] for r in held], length - gram + _MARK):
+                for x, left, right in repeats([r[4] for r in held], [r[5] for r in held], length - gram + _MARK, later):
                     out.append((held[x][1], held[x][2], held[x][3] - left, left + gram + right - _MARK))
 
         for batch in batches:
@@ -173,9 +186,10 @@ def _hash(*parts: bytes) -> int:
     return v - (1 << 64) if v >> 63 else v
 
 
-def _block_spans(rows: DataFrame, ws: Workspace, length: int, gram: int) -> DataFrame:
-    """(d, t, start, size) from segments of anchors with many different segments, by counts alone."""
-    span = length - gram
+def _block_spans(rows: DataFrame, ws: Workspace, length: int, gram: int, later: bool) -> DataFrame:
+    """(d, t, start, size) from segments of anchors with many different segments, by counts and first places alone."""
+    span, place = length - gram, F.struct("d", "t", "p")
+    elsewhere = place > F.col("r") if later else F.lit(True)  # of a row whose key stands twice, r is the key's first place
 
     def blocks(row: tuple) -> Iterator[tuple[int, int, int]]:
         low, high = span + _MARK - len(row[5]), len(row[4])
@@ -192,7 +206,7 @@ def _block_spans(rows: DataFrame, ws: Workspace, length: int, gram: int) -> Data
                 core = _hash(before[: b * STEP], behind[: _MARK + max(0, span - b * STEP - STEP + 1)])
                 out.append((*row[:4], b, low, high, core, _hash(before[:high], behind[: _MARK + span - low]) ^ (low << 10 | high)))
         cols = [np.array(c, np.int64) for c in zip(*out)]
-        (first, twice), (lead, several) = marks(cols[0], cols[4], cols[7], cols[8]), marks(cols[0], cols[4], cols[7])
+        (first, twice), (lead, several) = marks([cols[i] for i in (0, 4, 7, 8)], cols[1:4], later), marks([cols[i] for i in (0, 4, 7)], cols[1:4])
         kind = FIRST * first + TWICE * twice + LEAD * lead + SEVERAL * several
         return pa.record_batch([*map(pa.array, cols), pa.array(kind)], names)
 
@@ -201,38 +215,42 @@ def _block_spans(rows: DataFrame, ws: Workspace, length: int, gram: int) -> Data
     core, whole_of = ["h", "b", "core"], ["h", "b", "core", "whole"]
     cores = ws.table(parts.where(f"kind & {LEAD} > 0").groupBy(*core).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "cores")
     met = ws.table(parts.where(f"kind & {SEVERAL} > 0").unionByName(parts.where(f"kind & {SEVERAL} = 0").join(cores, core)), "met_blocks")
-    wholes = ws.table(met.where(f"kind & {FIRST} > 0").groupBy(*whole_of).agg((F.count(F.lit(1)) > 1).alias("twice")), "wholes")
-    settled = met.where(f"kind & {TWICE} > 0").withColumn("twice", F.lit(True)).unionByName(met.where(f"kind & {TWICE} = 0").join(wholes, whole_of))
-    settled = ws.table(settled, "settled")
+    wholes = ws.table(met.where(f"kind & {FIRST} > 0").groupBy(*whole_of).agg((F.count(F.lit(1)) > 1).alias("twice"), F.min(place).alias("r")), "wholes")
+    asked = met.where(f"kind & {TWICE} = 0").join(wholes, whole_of).withColumn("twice", F.col("twice") & elsewhere).select(*met.columns, "twice")
+    settled = ws.table(met.where(f"kind & {TWICE} > 0").withColumn("twice", F.lit(True)).unionByName(asked), "settled")
     whole = settled.where("twice").select("d", "t", (F.col("p") - F.col("high")).alias("start"), (F.col("high") - F.col("low") + length).alias("size"))
     open_ = settled.where("NOT twice").groupBy("h", "d", "t", "p").agg(F.collect_set("b").alias("open"))
-    # windows of settled blocks count as partners too: one segment of each settled block is opened with the rest
+    # windows of settled blocks count as partners too: one segment of each settled block is opened with the rest (the
+    # first place's, which isn't settled itself if only later ones go)
     again = settled.where(f"twice AND kind & {FIRST} > 0").groupBy(*whole_of).agg(F.min(F.struct("d", "t", "p")).alias("r")).select("h", "r.*", F.array("b").alias("open"))
     todo = open_.union(again.select(open_.columns)).groupBy("h", "d", "t", "p").agg(F.array_distinct(F.flatten(F.collect_list("open"))).alias("open"))
 
     def single(piece: pa.RecordBatch) -> pa.RecordBatch:
         """A row a window."""
         places: dict[tuple[int, int, int], list[tuple]] = {}
+        gone = (lambda x, at: x > at[0]) if later else (lambda x, at: len(at) > 1)
         for row in zip(*(c.to_pylist() for c in piece.columns)):
             wanted = set(row[6])
             for b, low, high in blocks(row):
                 if b in wanted:
                     for o in range(low, high + 1):
                         places.setdefault((row[0], o, _hash(row[4][:o], row[5][: _MARK + span - o])), []).append(row[1:4])
-        out = [(h, *x, o, w, TWICE * (len(at) > 1) + FIRST * (i == 0)) for (h, o, w), at in places.items() for i, x in enumerate(at)]
+        out = [(h, *x, o, w, TWICE * gone(x, at) + FIRST * (i == 0)) for (h, o, w), at in places.items() for at in [sorted(at)] for i, x in enumerate(at)]
         return pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], ["h", "d", "t", "p", "o", "w", "kind"])
 
     ask = columns.join(ws.table(todo, "open"), ["h", "d", "t", "p"]).select("h", "d", "t", "p", "before", "behind", "open")
     windows = ws.table(map_slices(ask, "behind", single, "h long, d long, t long, p long, o long, w long, kind long", 1 << 18), "single")
-    twice = ws.table(windows.where(f"kind & {FIRST} > 0").groupBy("h", "o", "w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "twice")
-    known = windows.where(f"kind & {TWICE} > 0").unionByName(windows.where(f"kind & {TWICE} = 0").join(twice, ["h", "o", "w"]))
+    twice = ws.table(windows.where(f"kind & {FIRST} > 0").groupBy("h", "o", "w").agg(F.count(F.lit(1)).alias("c"), F.min(place).alias("r")).where("c > 1").drop("c"), "twice")
+    known = windows.where(f"kind & {TWICE} > 0").unionByName(windows.where(f"kind & {TWICE} = 0").join(twice, ["h", "o", "w"]).where(elsewhere).select(windows.columns))
     return whole.unionByName(known.select("d", "t", (F.col("p") - F.col("o")).alias("start"), F.lit(length).cast("long").alias("size")))
 
 
-def repeated_spans(docs: DataFrame, ws: Workspace, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
-    """(d, t, start, size): byte spans whose windows of ``length`` bytes all start somewhere else as well.
+def repeated_spans(docs: DataFrame, ws: Workspace, length: int = LENGTH, gram: int = GRAM, group: int = GROUP, later: bool = False) -> DataFrame:
+    """(d, t, start, size): byte spans whose windows of ``length`` bytes all start somewhere else as well, or if ``later``
+    somewhere before, in order of d, t and place.
 
-    ``d`` is the doc_id (the least long for null) and ``t`` tells texts of one doc_id apart.
+    ``d`` is the doc_id (the least long for null) and ``t`` tells texts of one doc_id apart; rows that share both are one
+    place, so none of them is later than another.
     """
     texts = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("d"), F.xxhash64("text").alias("t"), "text")
 
@@ -240,7 +258,9 @@ def repeated_spans(docs: DataFrame, ws: Workspace, length: int = LENGTH, gram: i
         doc, h, p, first, count, seg = anchor_runs(*utf8(piece.column(2)), length, gram)
         if not len(doc):
             return None
-        take, (first_of, twice), (lead, several) = pa.array(doc), marks(h, seg), marks(h)
+        take = pa.array(doc)
+        place = [piece.column(i).take(take).to_numpy() for i in (0, 1)] + [p]
+        (first_of, twice), (lead, several) = marks([h, seg], place, later), marks([h], place)
         kind = (FIRST * first_of + TWICE * twice + LEAD * lead + SEVERAL * several).astype(np.int8)
         columns = [piece.column(0).take(take), piece.column(1).take(take), pa.array(h.view(np.int64)), pa.array(p), pa.array(first), pa.array(count), pa.array(seg.view(np.int64)), pa.array(kind)]
         return pa.record_batch(columns, ["d", "t", "h", "p", "first", "n", "seg", "kind"])
@@ -252,8 +272,9 @@ def repeated_spans(docs: DataFrame, ws: Workspace, length: int = LENGTH, gram: i
     ws.drop("runs", "shared")
     ws.reclaim()
     segments = ws.table(met.where(f"kind & {FIRST} > 0").groupBy("h", "seg").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("d", "t", "p", "first", "n")).alias("r")), "segments")
-    copies = ws.table(segments.where("c > 1").select("h", "seg"), "copies")
-    whole = met.where(f"kind & {TWICE} > 0").unionByName(met.where(f"kind & {TWICE} = 0").join(copies, ["h", "seg"]).select(met.columns))
+    copies = ws.table(segments.where("c > 1").select("h", "seg", F.struct("r.d", "r.t", "r.p").alias("r")), "copies")
+    elsewhere = F.struct("d", "t", "p") > F.col("r") if later else F.lit(True)
+    whole = met.where(f"kind & {TWICE} > 0").unionByName(met.where(f"kind & {TWICE} = 0").join(copies, ["h", "seg"]).where(elsewhere).select(met.columns))
     whole = whole.select("d", "t", F.col("first").alias("start"), (F.col("n") + length - 1).alias("size"))
     groups = ws.table(segments.groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "groups")
     wanted = segments.join(groups, "h").select("r.d", "r.t", F.struct("h", "m", "r.p", "r.first", "r.n").alias("s")).groupBy("d", "t").agg(F.collect_list("s").alias("s"))
@@ -272,11 +293,11 @@ def repeated_spans(docs: DataFrame, ws: Workspace, length: int = LENGTH, gram: i
     holders = texts.join(wanted, ["d", "t"]).select("d", "t", "text", "h", "m", "p", "first", "n").dropDuplicates(["d", "t"])
     rows = ws.table(map_slices(holders, "text", fetch, "h long, m long, d long, t long, p long, before binary, behind binary"), "rows")
     ws.reclaim()
-    few = _group_spans(rows.where(F.col("m") <= group), length, gram)
+    few = _group_spans(rows.where(F.col("m") <= group), length, gram, later)
     many = rows.where(F.col("m") > group)
     out = whole.unionByName(few)
     if not many.isEmpty():
-        out = out.unionByName(_block_spans(many, ws, length, gram))
+        out = out.unionByName(_block_spans(many, ws, length, gram, later))
     found = ws.table(out.distinct(), "spans")
     ws.drop("met", "segments", "copies", "groups", "rows", "blocks", "cores", "met_blocks", "wholes", "settled", "open", "single", "twice")
     ws.reclaim()
@@ -291,12 +312,12 @@ def merged(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return a[head], b[np.append(head[1:], len(a)) - 1] if len(a) else b
 
 
-def _with_spans(docs: DataFrame, names: list[str], length: int, gram: int, group: int) -> tuple[DataFrame, str]:
+def _with_spans(docs: DataFrame, names: list[str], length: int, gram: int, group: int, later: bool) -> tuple[DataFrame, str]:
     """The columns ``names``, the text, and the arrays of starts and sizes of each document's repeated spans (null without
     any), and the name that the text has there."""
     ws = Workspace(docs.sparkSession, "suffix")
     text, d, t, start, size = spare(names, "text", "d", "t", "start", "size")
-    spans = repeated_spans(docs.select("doc_id", "text"), ws, length, gram, group).groupBy("d", "t").agg(F.collect_list(F.struct("start", "size")).alias("s"))
+    spans = repeated_spans(docs.select("doc_id", "text"), ws, length, gram, group, later).groupBy("d", "t").agg(F.collect_list(F.struct("start", "size")).alias("s"))
     spans = spans.select(F.col("d").alias(d), F.col("t").alias(t), F.col("s.start").alias(start), F.col("s.size").alias(size))
     texts = docs.select(*map(column, names), F.col("text").alias(text), F.coalesce("doc_id", F.lit(NO_ID)).alias(d), F.xxhash64("text").alias(t))
     return texts.join(spans, [d, t], "left").select(*map(column, [*names, text, start, size])), text
@@ -315,10 +336,10 @@ def _each(piece: pa.RecordBatch, k: int) -> Iterator[tuple[bytes, int, list[byte
         yield data, len(a), [data[x:y] for x, y in zip(cuts[::2], cuts[1::2])]
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP, keep_first: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256): each document without its repeated spans.
 
-    Every occurrence of a repeat goes, the first too.  Null text counts as empty; repeated rows are documents of their
+    Every occurrence of a repeat goes, the first too unless ``keep_first``.  Null text counts as empty; repeated rows are documents of their
     own, and a null doc_id is a document like any other; an empty table gives an empty result; other columns are ignored.
     """
 
@@ -327,15 +348,16 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, gro
         total, gone, spans, digest = zip(*rows)
         return pa.record_batch([piece.column(0), *[pa.array(c, pa.int64()) for c in (total, gone, spans)], pa.array(digest, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    rows, own = _with_spans(docs, ["doc_id"], length, gram, group)
+    rows, own = _with_spans(docs, ["doc_id"], length, gram, group, keep_first)
     return map_slices(rows, own, work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def cleaned(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
+def cleaned(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP, keep_first: bool = False) -> DataFrame:
     """docs, all columns, with repeated spans cut out of text (null text becomes empty).
 
     Characters that the end of a span cuts in two are left out as well.  Repeated rows are documents of their own, so
-    all they have in common goes; an empty table stays empty; column names may be any.
+    all they have in common goes; with ``keep_first`` the first occurrence of a repeat (by doc_id, hash of the text and place)
+    stays, and rows equal in doc_id and text stay alike.  An empty table stays empty; column names may be any.
     """
     names = docs.columns
     k = len(names)
@@ -344,5 +366,5 @@ def cleaned(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int
         text = pa.array(["".join(p.decode("utf-8", "ignore") for p in kept) for _, _, kept in _each(piece, k)], pa.string())
         return pa.record_batch([text if n == "text" else piece.column(i) for i, n in enumerate(names)], names)
 
-    rows, own = _with_spans(docs, names, length, gram, group)
+    rows, own = _with_spans(docs, names, length, gram, group, keep_first)
     return map_slices(rows, own, work, extended(docs, names))

@@ -48,6 +48,21 @@ def bytes_removed(docs, n):
     return sorted(out, key=repr)
 
 
+def later_bytes_removed(docs, n):
+    """Bytes of windows that start earlier too: places in order of id, hash of the text (given with it) and byte."""
+    first, out = {}, []
+    for i, h, t in sorted(docs, key=lambda x: (-(1 << 63) if x[0] is None else x[0], x[1])):
+        b = (t or "").encode()
+        gone, end = bytearray(len(b)), 0
+        for j in range(len(b) - n + 1):
+            w = b[j : j + n]
+            if first.setdefault(w, (i, h, j)) != (i, h, j):  # documents come in order, so whoever came first is earlier
+                gone[max(j, end) : j + n] = b"\1" * (j + n - max(j, end))
+                end = j + n
+        out.append((i, len(b), sum(gone), hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest()))
+    return sorted(out, key=repr)
+
+
 def pairs(df):
     return [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
 
@@ -168,3 +183,22 @@ def test_rlz_places(spark):
     for ids in ((-5, 3, 4), (-(1 << 63), 0, (1 << 63) - 1), (7, 8, 9)):
         docs = [(i, f"x{k} {base} y{k}") for k, i in enumerate(ids)]
         assert rows(rlz.removed(spark.createDataFrame(docs, "doc_id long, text string"))) == words_removed(docs)
+
+
+@pytest.mark.parametrize("group", [256, 3])
+def test_suffix_keeps_the_first(spark, group):
+    random.seed(11)
+    base, docs = "".join(random.choice("abcdé \n") for _ in range(900)), []
+    for i in range(70):
+        x = list(base)
+        for _ in range(random.randint(0, 30)):
+            x[random.randrange(900)] = random.choice("xyz")
+        a = random.randrange(700)
+        docs.append((i // 2, "".join(x[a : a + random.randint(5, 900)])))
+    docs += [(None, base[:300]), (50, base[100:400]), (51, base[100:400]), (51, base[100:400]), (7, None), (8, ""), (90, "ab" * 200), (91, "a" * 300), (92, "a" * 100), (-4, base)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    hashed = [(r.doc_id, r.h, r.text) for r in df.selectExpr("doc_id", "xxhash64(text) AS h", "text").collect()]
+    got = rows(suffix.without_repeats(df, 60, 30, group, keep_first=True).drop("n_spans"))
+    assert got == later_bytes_removed(hashed, 60)
+    kept = suffix.cleaned(df, 60, 30, group, keep_first=True).where("doc_id = -4").first().text
+    assert 0 < len(kept) < len(base)  # a null id comes before, and has some of it
