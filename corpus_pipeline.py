@@ -40,8 +40,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages that stand anywhere else in the corpus as well."""
-    out = suffix.cleaned(docs, REPEAT, REPEAT_GRAM)
+    """Documents without passages that stand earlier in the corpus: of every repeated passage the first occurrence stays."""
+    out = suffix.cleaned(docs, REPEAT, REPEAT_GRAM, keep_first=True)
     return out.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
