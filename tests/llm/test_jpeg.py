@@ -74,3 +74,43 @@ def test_query(documents, odd, empty):
             want.append((r.doc_id, len((r.text or "").encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:])))
         assert got == sorted(want, key=repr)
     assert jpeg.media_features(empty).count() == 0
+
+
+def plain_feature(payload):
+    """Dimensions and thumbnail hash from the payload: every third 64-byte run starts with a luminance DC coefficient."""
+    mcus = len(payload) // 192
+    wide = max(1, min(8191, int(mcus**0.5)))
+    high = -(-mcus // wide)
+    dc = [b - 128 if b < 128 else b - 127 for b in payload[::192]] + [0x20 - 128] * (wide * high - mcus)
+    pixel = [[min(255, max(0, dc[y * wide + x] + 128)) for x in range(wide)] for y in range(high)]
+
+    def mean(r, c):
+        ys = range(r * high // 8, max(r * high // 8 + 1, (r + 1) * high // 8))
+        xs = range(c * wide // 9, max(c * wide // 9 + 1, (c + 1) * wide // 9))
+        return sum(pixel[y][x] for y in ys for x in xs) / (len(ys) * len(xs))
+
+    value = 0
+    for r in range(8):
+        for c in range(8):
+            value = value << 1 | (mean(r, c) + 1e-9 < mean(r, c + 1))
+    return f"{wide * 8}x{high * 8}:{value:016x}"
+
+
+def test_features_of_the_query(documents, odd):
+    for docs in (documents, odd):
+        want = sorted(((r.doc_id, plain_feature(jpeg.padded((r.text or "").encode()))) for r in docs.collect()), key=repr)
+        assert rows(jpeg.media_features(docs), "doc_id", "feature") == want
+
+
+def test_stored_forms_by_the_bit_reader(documents):
+    """What the query stores decodes alike bit by bit, code after code."""
+    for r in documents.limit(12).collect():
+        data = jpeg.encode_payload(jpeg.padded((r.text or "").encode()[:20_000]))
+        fast = jpeg.decode(data)
+        try:
+            for t in jpeg._KNOWN.values():
+                t.constant = False
+            slow = jpeg.decode(data)
+        finally:
+            jpeg._KNOWN.clear()
+        assert jpeg.stored_payload(slow) == jpeg.stored_payload(fast) and (jpeg.thumbnail(slow) == jpeg.thumbnail(fast)).all()
