@@ -290,8 +290,17 @@ def met(reps: DataFrame, least: float, small: int) -> DataFrame:
     return rows.mapInArrow(work, "a long, b long, token long, n long, pos long")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, k: int, least: float) -> DataFrame:
-    """The pairs (a, b) of classes whose k-word shingle sets have a Jaccard similarity of at least ``least``; texts has c and text."""
+def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, least: float, ws: Workspace, name: str) -> DataFrame:
+    """The pairs (a, b) of classes whose k-word shingle sets have a Jaccard similarity of at least ``least``.
+
+    Only texts of classes that stand in a pair travel.
+    """
+    pairs = ws.table(pairs, f"{name}_pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+    wanted = ws.table(reps.select("c", "doc_id", "t").join(wanted, "c"), f"{name}_wanted")
+    held = docs.select("doc_id", F.xxhash64("text").alias("t"), "text").join(wanted, ["doc_id", "t"])
+    texts = ws.table(held.dropDuplicates(["doc_id", "t"]).select("c", "text"), f"{name}_texts")
+    ws.reclaim()
     side = lambda c, text: texts.select(F.col("c").alias(c), F.col("text").alias(text))
     both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
 
@@ -304,7 +313,7 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, least: float) -> DataFr
             good.append(shared >= least * (len(x) + len(y) - shared) - 1e-9)
         return pa.record_batch([c.filter(pa.array(good)) for c in piece.columns[:2]], ["a", "b"])
 
-    return map_slices(both, "x", work, "a long, b long")
+    return ws.table(map_slices(both, "x", work, "a long, b long"), name)
 
 
 def fingerprint_pairs(reps: DataFrame, ws: Workspace, radius: int = 2) -> DataFrame:
@@ -322,8 +331,6 @@ def similar_edges(reps: DataFrame, docs: DataFrame, k: int, least: float, small:
     their prefixes, all paired; and in a larger group a hub, the class with most such tokens, that each of the group meets.
     Then every class that isn't connected with its group's hub meets all of the group that it isn't connected with.
     """
-    held = docs.select("doc_id", F.xxhash64("text").alias("t"), "text").join(reps.select("c", "doc_id", "t"), ["doc_id", "t"])
-    texts = held.dropDuplicates(["doc_id", "t"]).select("c", "text")
     under = ws.table(met(reps, least, small), "met")
     bits = reps.select("c", "n", *BITS)
     side = lambda x: F.struct("c", "n", *BITS).alias(x)
@@ -339,8 +346,9 @@ def similar_edges(reps: DataFrame, docs: DataFrame, k: int, least: float, small:
     large = ws.table(rows.join(bits.join(many, "c"), "c"), "large")
     hubs = ws.table(large.groupBy("token").agg(F.min_by(side("x"), F.struct(-F.col("tokens"), "c")).alias("x")), "hubs")
     star = large.select("token", side("y")).join(hubs, "token").where("x.c <> y.c AND " + possible(least)).select(*ends)
-    near = ws.table(verified(ws.table(few.union(star).distinct(), "pairs"), texts, k, least), "near")
-    ws.drop("met", "pairs")
+    near = verified(few.union(star).distinct(), reps, docs, k, least, ws, "near")
+    ws.drop("met", "near_pairs", "near_texts")
+    ws.reclaim()
     labels = components(near, ws, "first")
     label = F.coalesce("label", "c").alias("label")
     member = large.join(labels.withColumnRenamed("node", "c"), "c", "left")
@@ -349,7 +357,7 @@ def similar_edges(reps: DataFrame, docs: DataFrame, k: int, least: float, small:
     apart = ws.table(member.join(ws.table(mains, "mains"), "token").where("y.label <> main").select("token", F.col("y").alias("x")), "apart")
     left = f"least(x.n - x.pos, y.n - y.pos) >= {least / (1 + least)!r} * (x.n + y.n) - 1e-6"
     rest = apart.join(member, "token").where(f"x.label <> y.label AND {left} AND {possible(least)}").select(*ends)
-    return near.union(ws.table(verified(ws.table(rest.distinct(), "rest"), texts, k, least), "far"))
+    return near.union(verified(rest.distinct(), reps, docs, k, least, ws, "far"))
 
 
 def similar_groups(docs: DataFrame, k: int = 5, least: float = 0.8, ws: Workspace | None = None, small: int = UNCOMMON) -> DataFrame:
