@@ -74,6 +74,20 @@ def test_large_buckets_lose_no_link(spark):
     assert all(label.get(rep[r.fp], rep[r.fp]) == want[r.doc_id] for r in df.collect())
 
 
+def test_components_of_odd_edges(spark):
+    random.seed(10)
+    chain = [(i, i + 1) for i in range(0, 60)]
+    star = [(100 + 7 * i % 300, 99) for i in range(1, 200)]
+    loose = [(random.randrange(1000, 1400), random.randrange(1000, 1400)) for _ in range(250)]
+    pairs = chain + star + loose + [(5, 5), (2000, 2000), (None, 3), (4, None), (0, 1), (1, 0)]
+    random.shuffle(pairs)
+    ends = {x for p in pairs if None not in p and p[0] != p[1] for x in p}
+    linked = {frozenset(p) for p in pairs}
+    got = {r.node: r.label for r in components(spark.createDataFrame(pairs, "a long, b long").repartition(5), Workspace(spark, "cc-test")).collect()}
+    assert got == reach(ends, lambda a, b: frozenset((a, b)) in linked)
+    assert components(spark.createDataFrame([], "a long, b long"), Workspace(spark, "cc-test")).count() == 0
+
+
 def test_similar_groups_against_brute_force(spark, documents):
     random.seed(4)
     base = [f"w{random.randrange(500)}" for _ in range(120)]
