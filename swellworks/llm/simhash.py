@@ -360,9 +360,9 @@ def similar_edges(reps: DataFrame, docs: DataFrame, k: int, least: float, small:
     return near.union(verified(rest.distinct(), reps, docs, k, least, ws, "far"))
 
 
-def similar_groups(docs: DataFrame, k: int = 5, least: float = 0.8, ws: Workspace | None = None, small: int = UNCOMMON) -> DataFrame:
-    """(doc_id, t, component, group_id): ``component`` joins texts over pairs with a shingle similarity of at least ``least``,
-    group_id is the smallest doc_id in it; ``t`` (xxhash64 of the text) tells texts of one doc_id apart.
+def similar_components(docs: DataFrame, k: int = 5, least: float = 0.8, ws: Workspace | None = None, small: int = UNCOMMON) -> DataFrame:
+    """(doc_id, t, component): ``component`` joins texts over pairs with a shingle similarity of at least ``least``; ``t``
+    (xxhash64 of the text) tells texts of one doc_id apart.
 
     Texts with the same words form a class first; one of them is compared.  Fingerprints find close pairs, prefixes of the
     shingle sets all others without exception; exact shingle sets decide.  ``small`` changes the work, not the groups.
@@ -377,7 +377,12 @@ def similar_groups(docs: DataFrame, k: int = 5, least: float = 0.8, ws: Workspac
     edges = ws.table(similar_edges(classes, texts, k, least, small, ws), "edges")
     ws.reclaim()
     labels = components(edges, ws).withColumnRenamed("node", "c")
-    known = ws.table(classes.join(labels, "c", "left").select("words0", "words1", "doc_id", F.coalesce("label", "c").alias("component")), "known")
-    least_id = ws.table(known.groupBy("component").agg(F.min("doc_id").alias("group_id")), "group_ids")
-    own = every.select("doc_id", "t", "words0", "words1").distinct().join(known.drop("doc_id"), ["words0", "words1"])
-    return own.join(least_id, "component").select("doc_id", "t", "component", "group_id")
+    known = ws.table(classes.join(labels, "c", "left").select("words0", "words1", F.coalesce("label", "c").alias("component")), "known")
+    return every.select("doc_id", "t", "words0", "words1").distinct().join(known, ["words0", "words1"]).select("doc_id", "t", "component")
+
+
+def similar_groups(docs: DataFrame, k: int = 5, least: float = 0.8, ws: Workspace | None = None, small: int = UNCOMMON) -> DataFrame:
+    """similar_components with ``group_id``, the smallest doc_id of the component."""
+    ws = ws or Workspace(docs.sparkSession, "similar")
+    found = ws.table(similar_components(docs, k, least, ws, small), "components")
+    return found.join(ws.table(found.groupBy("component").agg(F.min("doc_id").alias("group_id")), "group_ids"), "component").select("doc_id", "t", "component", "group_id")
