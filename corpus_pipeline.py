@@ -30,7 +30,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Of a group's texts with that doc_id the one of the least hash stays, of equal rows one.
     """
     ws = Workspace(spark, "near_dedup")
-    groups = simhash.similar_groups(docs, k=5, least=0.8, ws=ws)
+    groups = simhash.similar_components(docs, k=5, least=0.8, ws=ws)
     kept = ws.table(groups.groupBy("component").agg(F.min(F.struct("doc_id", "t")).alias("r")).select("r.*"), "kept")
     d, t = spare(docs.columns, "doc", "t")
     kept = kept.select(F.col("doc_id").alias(d), F.col("t").alias(t))
