@@ -398,3 +398,36 @@ def bulletin_headers(spark, sf_dir):
     """Section 1.4's header: cycle, position and zone of composed bulletins."""
     head = bulletin.with_header(compose.bulletins_a(spark, sf_dir))
     return head.select("station_id", "lat", "lon", F.date_format("cycle_ts", "yyyy-MM-dd HH:mm:ss").alias("cycle"), "tz")
+
+
+@query("SELECT x.pos AS pos, x.id AS id FROM (SELECT unnest([{'pos': 0, 'id': s_name}, {'pos': 1, 'id': CAST(s_nationkey AS VARCHAR)}, {'pos': 3, 'id': s_name}, {'pos': 4, 'id': '7'}]) AS x FROM supplier)")
+def id_list(spark, sf_dir):
+    """SRC5, C7: arrays of ids, a supplier each: blanks around, blanks alone, duplicates and numbers."""
+    name, nation = F.col("s_name"), F.col("s_nationkey").cast("string")
+    text = F.concat(F.lit('["'), name, F.lit('", " '), nation, F.lit(' ", "", "'), name, F.lit('", 7]'))
+    return station_source.parse_id_list(table(spark, sf_dir, "supplier").select(text.alias("value")))
+
+
+@query("SELECT unnest({ids}) AS id, unnest({names}) AS name, CAST(unnest({lats}) AS DOUBLE) AS lat, CAST(unnest({lons}) AS DOUBLE) AS lon".format(**{k: list(c) for k, c in zip(("ids", "names", "lats", "lons"), zip(*station_source.FALLBACK))}))
+def fallback_stations(spark, sf_dir):
+    """SRC7."""
+    return station_source.fallback(spark)
+
+
+@query("""
+SELECT s_suppkey, station, CASE WHEN station = 'known' THEN 1.5 ELSE -CAST(s_suppkey % 90 AS DOUBLE) - 0.25 END AS lat,
+  CASE WHEN station = 'known' THEN -2.5 ELSE CAST(s_suppkey AS DOUBLE) END AS lon
+FROM supplier, (SELECT unnest(['known', 'other']) AS station)""")
+def map_positions(spark, sf_dir):
+    """A catalogue position goes before that of the location line, as the map reads it."""
+    known = spark.createDataFrame([("known", 1.5, -2.5)], "id string, lat double, lon double")
+    line = F.concat(F.lit("Location : x ("), (F.col("s_suppkey") % 90).cast("string"), F.lit(".25S "), F.col("s_suppkey").cast("string"), F.lit(".00E)"))
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", line.alias("line"))
+    found = [rows.select("s_suppkey", F.lit(x).alias("station"), stations_of.selected_position(known, x, F.col("line")).alias("at")) for x in ("known", "other")]
+    return found[0].unionByName(found[1]).select("s_suppkey", "station", "at.lat", "at.lon")
+
+
+@query("SELECT n AS number, CASE WHEN n <= 26 THEN chr(64 + n) ELSE chr(64 + (n - 1) // 26) || chr(65 + (n - 1) % 26) END AS letters FROM (SELECT CAST(unnest(range(1, 703)) AS INTEGER) AS n)")
+def column_letters(spark, sf_dir):
+    """Names of workbook columns."""
+    return spark.createDataFrame([(n, xlsx.letter(n)) for n in range(1, 703)], "number int, letters string")
