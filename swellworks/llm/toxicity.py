@@ -220,9 +220,9 @@ def _f1(s: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def _threshold(s: np.ndarray, y: np.ndarray, w: np.ndarray, near: float) -> float:
-    """Of the cuts whose F1 is within a hundredth of the best the one nearest to the common cut."""
+    """Of the cuts whose F1 is as good as the best, but for what a single toxic row makes, the one nearest to the common cut."""
     f1 = _f1(s, y, w)
-    best = GRID[f1 >= f1.max() - 0.01]
+    best = GRID[f1 >= f1.max() - max(0.01, 1 / y.sum())]
     return float(np.round(best[np.abs(best - near).argmin()], 2))
 
 
