@@ -160,8 +160,9 @@ class WordTokenizer:
         if len(added):
             inner = inner[np.searchsorted(from_, inner, "left") <= np.searchsorted(to, inner, "right")]  # none within an added token
             inner = np.unique(np.concatenate([inner, from_, to]))
-        start = np.union1d(w.start, inner[~np.isin(inner, w.end)])
-        end = np.union1d(w.end, inner[~np.isin(inner, w.start)])
+            inner = inner[~(np.isin(inner, w.start) | np.isin(inner, w.end))]  # where a word starts or ends there is nothing to cut
+        start = np.sort(np.concatenate([w.start, inner]))
+        end = np.sort(np.concatenate([w.end, inner]))
         if not len(added):
             ids, n = self.cache.ids(buf, start, end)
         else:
