@@ -305,12 +305,13 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, least:
     both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
 
     def work(piece: pa.RecordBatch) -> pa.RecordBatch | None:
-        (hx, fx), (hy, fy) = (shingle_numbers(*utf8(piece.column(c)), k) for c in (2, 3))
-        good = []
-        for i in range(piece.num_rows):
-            x, y = np.unique(hx[fx[i] : fx[i + 1]]), np.unique(hy[fy[i] : fy[i + 1]])
-            shared = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-            good.append(shared >= least * (len(x) + len(y) - shared) - 1e-9)
+        (hx, ox), (hy, oy) = (distinct(*shingle_numbers(*utf8(piece.column(c)), k)) for c in (2, 3))
+        rows = np.arange(piece.num_rows + 1)
+        fx, fy, good = np.searchsorted(ox, rows), np.searchsorted(oy, rows), []
+        for i in rows[:-1]:
+            both = np.sort(np.concatenate([hx[fx[i] : fx[i + 1]], hy[fy[i] : fy[i + 1]]]))
+            shared = int((both[1:] == both[:-1]).sum())
+            good.append(shared >= least * (len(both) - shared) - 1e-9)
         return pa.record_batch([c.filter(pa.array(good)) for c in piece.columns[:2]], ["a", "b"])
 
     return ws.table(map_slices(both, "x", work, "a long, b long"), name)
